@@ -1,0 +1 @@
+"""Empty on purpose: every mart is a batch query over month-end snapshots; there is no streaming operator to offer."""
