@@ -1,5 +1,6 @@
 from harborbook.functions.jsonfields import JsonField, decimal_field, guarded_number, json_fields, json_text
 from harborbook.functions.scalars import (
+    as_col,
     blank_to_null,
     capped,
     days_between,
@@ -13,6 +14,7 @@ from harborbook.functions.scalars import (
 )
 
 __all__ = [
+    "as_col",
     "JsonField",
     "blank_to_null",
     "capped",

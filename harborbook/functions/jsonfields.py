@@ -98,12 +98,21 @@ def json_paths(df: DataFrame, source: str, wanted: dict[str, tuple[str, ...]]) -
     return out.select("*", *[leaf(path).alias(name) for name, path in wanted.items()]).drop(parsed)
 
 
-def json_fields(df: DataFrame, fields: Iterable[JsonField], strict: bool = False) -> DataFrame:
+def json_fields(df: DataFrame, fields: Iterable[JsonField], defaults: bool = True, strict: bool = False) -> DataFrame:
     """Add every field of the list as a typed column, parsing each source column once."""
     fields = list(fields)
     out = df
     for source in dict.fromkeys(f.source for f in fields):
         out = json_paths(out, source, {f"_text_{f.name}": f.path for f in fields if f.source == source})
-    texts = [f"_text_{f.name}" for f in fields]
-    typed = [decimal_field(f"_text_{f.name}", f.dtype, f.default, f.split, strict).alias(f.name) for f in fields]
-    return out.select(*[c for c in out.columns if c not in texts], *typed)
+    texts = {f"_text_{f.name}" for f in fields}
+    typed = [decimal_field(f"_text_{f.name}", f.dtype, None, f.split, strict).alias(f.name) for f in fields]
+    out = out.select(*[c for c in out.columns if c not in texts], *typed)
+    return fill_defaults(out, fields) if defaults else out
+
+
+def fill_defaults(df: DataFrame, fields: Iterable[JsonField]) -> DataFrame:
+    """Defaults of the fields, for rows whose document, or whose number in it, is missing."""
+    filled = {
+        f.name: F.coalesce(f.name, F.lit(f.default).cast(f.dtype)).cast(f.dtype) for f in fields if f.default is not None
+    }
+    return df.withColumns(filled) if filled else df
