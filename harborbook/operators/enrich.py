@@ -16,7 +16,7 @@ from harborbook.functions import zip5
 from harborbook.operators.calendars import up_to_last_month
 from harborbook.operators.crime import CRIMES, crime_scores
 from harborbook.operators.keys import latest_per_key, top_rank_per_key
-from harborbook.operators.skew import Skew, salted_join
+from harborbook.operators.skew import Hot, Skew, find_hot_keys
 
 
 def book_rows(
@@ -91,9 +91,10 @@ def newest_policy_row(rows: DataFrame, tie_break: Sequence[str], then: Sequence[
     return latest_per_key(rows, "policy_reference", [F.desc_nulls_last("eff_date"), *then], tie_break)
 
 
-def join_business(policies: DataFrame, profile: DataFrame, config: MartConfig) -> DataFrame:
-    """A business may own a large share of all policies, so its rows are spread."""
-    return salted_join(policies, profile, "business_id", "left", skew=Skew(config.hot_rows, config.splits))
+def hot_businesses(snapshots: DataFrame, config: MartConfig) -> Hot:
+    """Businesses with very many snapshot rows."""
+    rows = snapshots.where((F.col("lob") == config.lob) & F.col("carrier_name").isin(*config.carriers))
+    return find_hot_keys(rows, {"business": ["business_id"]}, Skew(config.hot_rows, config.splits))["business"]
 
 
 def activity_spine(keyed: DataFrame, spine: DataFrame, has_premium: str, loss_map: str) -> DataFrame:

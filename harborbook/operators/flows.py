@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harborbook.functions import days_between, fraction_of, nz, yyyymm
-from harborbook.operators.skew import Skew, attach_totals
+from harborbook.operators.lineage import settle
+from harborbook.operators.skew import NO_HOT, Hot, salted_join
 
 
 def monthly_amounts(tx: DataFrame, key: str, date_col: str, measures: Mapping[str, Column]) -> DataFrame:
@@ -92,35 +93,43 @@ def increments_of_rows(
     tie_break: Sequence[str],
     columns: Mapping[str, str],
     types: Mapping[str, str] | None = None,
-    skew: Skew = Skew(),
+    hot: Hot = NO_HOT,
 ) -> DataFrame:
     """``increments`` where a key may have any number of rows per period, ordered by ``tie_break``.
 
-    No task holds a key: rows are compared inside ``(key, period)``, and only the last row of each
-    period travels on to the first row of the next.  A period of a key with more than ``skew.rows`` rows
-    is cut into runs of about that size which follow one another; tied rows have no order of their own,
-    so this is one of theirs.
+    Without hot keys this is one window.  Otherwise no task holds a key: rows are compared inside
+    ``(key, period)``, and only the last row of each period travels on to the first row of the next.  A
+    period with more than ``hot.skew.rows`` rows is cut into runs of about that size which follow one
+    another; tied rows have no order of their own, so this is one of theirs.
     """
     types = types or {}
+    ties = [F.asc_nulls_first(t) for t in tie_break]
+
+    def typed(c: str, value: Column) -> Column:
+        return value.cast(types[c]) if c in types else value
+
+    if not hot:
+        window = Window.partitionBy(key).orderBy(order, *ties)
+        changes = [typed(c, change(F.col(c), F.lag(c).over(window))).alias(n) for c, n in columns.items()]
+        return df.select("*", *changes)
+
     values = F.struct(*columns)
-    sized = attach_totals(df, [key, order], [F.count(F.lit(1)).alias("_n")], skew=skew)
-    run = F.pmod(F.xxhash64(*tie_break), F.ceil(F.col("_n") / skew.rows))
+    sizes = df.groupBy(key, order).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= hot.skew.rows)
+    rows = salted_join(df, sizes, [key, order], "left", hot=hot, hot_on=[key], null_safe=True)
+    runs = F.ceil(F.coalesce("_n", F.lit(1)) / hot.skew.rows)
     # A struct equals another with NULL in the same places, so NULL keys stay a group of their own.
-    rows = sized.withColumn("_bucket", F.struct(key, order, run.alias("run"))).drop("_n")
+    bucket = F.struct(key, order, F.pmod(F.xxhash64(*tie_break), runs).alias("run"))
+    rows = settle(rows.withColumn("_bucket", bucket).drop("_n"), "increments")
 
     last = rows.groupBy("_bucket").agg(F.max_by(values, F.struct(*tie_break)).alias("_last"))
     chain = Window.partitionBy(F.col("_bucket")[key]).orderBy(F.col("_bucket")[order], F.col("_bucket")["run"])
     before = last.select("_bucket", F.lag("_last").over(chain).alias("_before"))
 
-    inside = Window.partitionBy("_bucket").orderBy(*[F.asc_nulls_first(t) for t in tie_break])
+    inside = Window.partitionBy("_bucket").orderBy(*ties)
     rows = rows.withColumn("_sibling", F.lag(values).over(inside)).join(before, "_bucket", "left")
     rows = rows.withColumn("_prior", F.coalesce("_sibling", "_before"))
-
-    def typed(c: str) -> Column:
-        value = change(F.col(c), F.col("_prior")[c])
-        return value.cast(types[c]) if c in types else value
-
-    return rows.select(*df.columns, *[typed(c).alias(n) for c, n in columns.items()])
+    changes = [typed(c, change(F.col(c), F.col("_prior")[c])).alias(n) for c, n in columns.items()]
+    return rows.select(*df.columns, *changes)
 
 
 def earned_exposure(eff: str, exp: str, evaluated: str, dtype: str = "decimal(10,6)") -> Column:

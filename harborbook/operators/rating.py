@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from harborbook.functions import as_col, blank_to_null, days_between, decimal_field
 from harborbook.operators.keys import top_rank_per_key
-from harborbook.operators.skew import Skew, salted_join
+from harborbook.operators.skew import NO_HOT, Hot, salted_join
 
 TIER_LIMIT = 10_000
 
@@ -54,19 +54,21 @@ def rate_premium(
 
 
 def prior_term_pairs(
-    policies: DataFrame, carried: dict[str, str], keep: Sequence[str], skew: Skew = Skew()
+    policies: DataFrame, carried: dict[str, str], keep: Sequence[str], hot: Hot = NO_HOT
 ) -> DataFrame:
     """Each policy beside the policies of its business one term earlier that started last in that term.
 
     ``carried`` maps a column of the earlier policy to its name in the result.  Policies that started on
     the same last day all pair up; without a policy one term earlier the carried columns are NULL.
+    ``hot`` holds the hot values of ``business_id``.
     """
-    last_of_term = top_rank_per_key(policies.distinct(), ["business_id", "policy_term"], "eff_date")
+    last_of_term = top_rank_per_key(policies, ["business_id", "policy_term"], "eff_date")
     earlier = last_of_term.where(F.col("business_id").isNotNull()).select(
         "business_id", (F.col("policy_term") + 1).alias("policy_term"), *[F.col(c).alias(n) for c, n in carried.items()]
     )
     current = policies.select(*keep).distinct()
-    paired = salted_join(current, earlier.distinct(), ["business_id", "policy_term"], "left", skew=skew)
+    term = ["business_id", "policy_term"]
+    paired = salted_join(current, earlier.distinct(), term, "left", hot=hot, hot_on=["business_id"])
     return paired.select(*keep, *carried.values()).distinct()
 
 

@@ -1,27 +1,30 @@
-"""Joins that keep working when one key holds a large share of the rows.
+"""Whole-group totals and joins that keep working when one key holds a large share of the rows.
 
-A shuffled join sends every row of a key to one task.  ``salted_join`` counts the rows per key
-(partial sums on the map side, key columns only), broadcasts the few keys that are hot and spreads
-their rows over ``splits`` sub-keys; the other side is repeated ``splits`` times for those keys
-only.  Rows whose key is NULL can match nothing and are spread as well.
+A window or a shuffled join sends all rows of a key to one task.  ``find_hot_keys`` therefore looks
+for keys with very many rows first: it counts rows per hash of the key columns, pre-aggregated on the
+map side, and brings the ``TRACKED`` largest counts to the driver at most.  Ordinary data has no such
+key, and then the operators here are the plain Spark ones.  Otherwise the rows of the hot keys are
+spread over ``splits`` sub-keys:
 
-The list of hot keys is at most ``HOT_KEY_LIMIT`` rows whatever the data size: it is a top-k by row
-count, and a key that misses the list takes the ordinary path of the same join.  The salt is a hash
-of the row, hence the same after a lost task is run again; callers with exact copies of rows fold
-them first (``fold_copies``), since copies share a hash.
+* a total is pre-aggregated before its shuffle and joined back, instead of a window;
+* the other side of a join is repeated ``splits`` times, for the hot keys only.
+
+The counts only steer the plan.  Both plans give the same rows, whichever keys are named, since both
+sides decide by the same hash of the key.  The salt is a hash of the row, so a task that is run again
+after a lost executor sends each row to the same place.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
-from operator import and_, or_
+from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_KEY_LIMIT = 1024
+TRACKED = 256
 
 
 @dataclass(frozen=True)
@@ -32,18 +35,42 @@ class Skew:
     splits: int = 64
 
 
-def _match(pairs: Sequence[tuple[Column, Column]], null_safe: bool) -> Column:
-    return reduce(and_, [a.eqNullSafe(b) if null_safe else a == b for a, b in pairs])
+@dataclass(frozen=True)
+class Hot:
+    """Hashes of the hot values of some key columns."""
+
+    hashes: tuple[int, ...] = ()
+    skew: Skew = Skew()
+
+    def __bool__(self) -> bool:
+        return bool(self.hashes)
+
+    def marks(self, keys: Sequence[str]) -> Column:
+        return F.xxhash64(*keys).isin(*self.hashes)
+
+
+NO_HOT = Hot()
+
+
+def find_hot_keys(df: DataFrame, keys: Mapping[str, Sequence[str]], skew: Skew) -> dict[str, Hot]:
+    """Hot values of several keys in one pass over their columns; NULL is a value like any other.
 
+    Runs a job when called; ``TRACKED`` small rows reach the driver at most.
+    """
+    kinds = [F.struct(F.lit(name).alias("kind"), F.xxhash64(*columns).alias("hash")) for name, columns in keys.items()]
+    counts = df.select(F.inline(F.array(*kinds))).groupBy("kind", "hash").agg(F.count(F.lit(1)).alias("n"))
+    largest = counts.where(F.col("n") >= skew.rows).orderBy(F.desc("n"), "kind", "hash").limit(TRACKED).collect()
+    return {name: Hot(tuple(r["hash"] for r in largest if r["kind"] == name), skew) for name in keys}
 
-def _any_null(keys: Sequence[str]) -> Column:
-    return reduce(or_, [F.col(k).isNull() for k in keys])
 
+def fold_copies(df: DataFrame, hot: Hot, count_col: str = "copies") -> DataFrame:
+    """Exact copies of a row as one row with their number, where copies can be many.
 
-def hot_keys(counts: DataFrame, keys: Sequence[str], skew: Skew, count_col: str = "_rows") -> DataFrame:
-    """At most ``HOT_KEY_LIMIT`` keys with at least ``skew.rows`` rows."""
-    largest = counts.where(F.col(count_col) >= skew.rows).orderBy(F.desc(count_col), *keys).limit(HOT_KEY_LIMIT)
-    return largest.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.lit(True).alias("_hot"))
+    Copies meet on the map side.  Without a hot key there are only few of any row, and each stays as it is.
+    """
+    if not hot:
+        return df.withColumn(count_col, F.lit(1).cast("bigint"))
+    return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias(count_col))
 
 
 def salted_join(
@@ -52,62 +79,48 @@ def salted_join(
     on: Sequence[str] | str,
     how: str = "left",
     *,
+    hot: Hot = NO_HOT,
+    hot_on: Sequence[str] | None = None,
     null_safe: bool = False,
-    counts: DataFrame | None = None,
-    skew: Skew = Skew(),
 ) -> DataFrame:
-    """``left.join(right, on, how)`` for ``how`` left or inner, with hot keys of ``left`` spread.
+    """``left.join(right, on, how)`` for ``how`` left or inner with hot keys of ``left`` spread.
 
-    ``counts`` may hand in the rows per key (columns ``on`` and ``_rows``) if they are known.
-    ``null_safe`` lets a NULL key match a NULL key.
+    ``hot`` speaks about the columns ``hot_on`` (default: ``on``).  ``null_safe`` lets NULL match NULL.
     """
     keys = [on] if isinstance(on, str) else list(on)
     if how not in ("left", "inner"):
         raise ValueError(f"salted_join supports left and inner joins, not {how!r}")
-    if counts is None:
-        known = left if null_safe else left.where(~_any_null(keys))
-        counts = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = F.broadcast(hot_keys(counts, keys, skew))
-
-    row_hash = F.pmod(F.xxhash64(*left.columns), F.lit(skew.splits)).cast("int")
-    salt = F.when(F.col("_hot"), row_hash).otherwise(F.lit(0))
-    if not null_safe:
-        salt = F.when(_any_null(keys), -1 - row_hash).otherwise(salt)
-    flagged = left.join(hot, _match([(F.col(k), F.col(f"_hot_{k}")) for k in keys], null_safe), "left")
-    spread = flagged.select(*left.columns, salt.alias("_salt"))
-
+    if not hot and not null_safe:
+        return left.join(right, keys, how)
+    hot_on = list(hot_on or keys)
     other = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
-    other = other.join(hot, _match([(F.col(f"_r_{k}"), F.col(f"_hot_{k}")) for k in keys], null_safe), "left")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(skew.splits - 1))).otherwise(F.array(F.lit(0)))
-    other = other.withColumn("_r_salt", F.explode(copies)).drop("_hot", *[f"_hot_{k}" for k in keys])
-
-    on_keys = _match([(F.col(k), F.col(f"_r_{k}")) for k in keys], null_safe)
-    joined = spread.join(other, on_keys & (F.col("_salt") == F.col("_r_salt")), how)
-    return joined.drop("_salt", "_r_salt", *[f"_r_{k}" for k in keys])
-
-
-def fold_copies(df: DataFrame, count_col: str = "copies") -> DataFrame:
-    """Exact copies of a row become one row with their number; copies meet already on the map side."""
-    return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias(count_col))
+    pairs = [(F.col(k), F.col(f"_r_{k}")) for k in keys]
+    if hot:
+        splits = hot.skew.splits
+        row = F.pmod(F.xxhash64(*left.columns), F.lit(splits)).cast("int")
+        left = left.withColumn("_salt", F.when(hot.marks(hot_on), row).otherwise(F.lit(0)))
+        copies = F.sequence(F.lit(0), F.lit(splits - 1))
+        spread = F.when(hot.marks([f"_r_{k}" for k in hot_on]), copies).otherwise(F.array(F.lit(0)))
+        other = other.withColumn("_r_salt", F.explode(spread))
+        pairs.append((F.col("_salt"), F.col("_r_salt")))
+    match = reduce(and_, [a.eqNullSafe(b) if null_safe else a == b for a, b in pairs])
+    return left.join(other, match, how).drop("_salt", "_r_salt", *[f"_r_{k}" for k in keys])
 
 
 def attach_totals(
     detail: DataFrame,
     on: Sequence[str] | str,
-    totals: Sequence[Column],
-    *,
-    refine: Callable[[DataFrame], DataFrame] | None = None,
-    skew: Skew = Skew(),
+    totals: Mapping[str, Column],
+    hot: Hot = NO_HOT,
+    hot_on: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Whole-group totals next to every row, NULL keys forming one group.
+    """Aggregates over all rows of a group next to every row; NULL keys are a group of their own.
 
-    Equal to ``agg(..).over(Window.partitionBy(on))``, but a window pulls a group into one task.  Here
-    the totals are pre-aggregated before the shuffle and joined back with hot groups spread.
-    ``refine`` may rework the table of totals (one row per group) before it is joined.
+    A window as long as no group is hot, else pre-aggregated totals joined back.
     """
     keys = [on] if isinstance(on, str) else list(on)
-    rows = F.count(F.lit(1)).alias("_rows")
-    per_group = detail.groupBy(*keys).agg(rows, *totals)
-    counts = per_group.select(*keys, "_rows")
-    values = per_group.drop("_rows") if refine is None else refine(per_group.drop("_rows"))
-    return salted_join(detail, values, keys, "left", null_safe=True, counts=counts, skew=skew)
+    if not hot:
+        window = Window.partitionBy(*keys)
+        return detail.select("*", *[c.over(window).alias(n) for n, c in totals.items()])
+    per_group = detail.groupBy(*keys).agg(*[c.alias(n) for n, c in totals.items()])
+    return salted_join(detail, per_group, keys, "left", hot=hot, hot_on=hot_on, null_safe=True)

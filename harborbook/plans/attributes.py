@@ -14,7 +14,7 @@ from harborbook.operators.enrich import (
     book_rows,
     business_profile,
     company_metrics,
-    join_business,
+    hot_businesses,
     latest_bind,
     latest_quote,
     latest_rating,
@@ -22,6 +22,7 @@ from harborbook.operators.enrich import (
 )
 from harborbook.operators.keys import latest_per_key
 from harborbook.operators.losses import prior_loss_flag
+from harborbook.operators.skew import salted_join
 from harborbook.plans.catalogue import EQUIPMENT_LIMIT, SUBCONTRACTOR_COST
 from harborbook.sources import Book
 
@@ -109,7 +110,8 @@ def policy_attributes(book: Book, config: MartConfig, spine: DataFrame) -> DataF
     wide = base.join(documents, "policy_id", "left").join(header, "policy_id", "left")
     wide = wide.join(prior, "policy_reference", "left")
     wide = wide.join(company_metrics(book.company_metrics), "policy_reference", "left")
-    wide = join_business(wide, profile.drop("address_county", "zip_code"), config)
+    profile = profile.drop("address_county", "zip_code")
+    wide = salted_join(wide, profile, "business_id", "left", hot=hot_businesses(book.snapshots, config))
     wide = wide.select(
         "*",
         yyyymm("eff_date").alias("eff_period"),

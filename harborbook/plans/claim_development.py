@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harborbook.config import NON_CAT_CODES_CLAIMS, NON_CAT_FRAGMENTS_CLAIMS, MartConfig
-from harborbook.functions import yyyymm
 from harborbook.operators.calendars import month_spine
 from harborbook.operators.crime import CRIMES
 from harborbook.operators.flows import increments_of_rows
@@ -20,9 +19,17 @@ from harborbook.operators.losses import (
     paid_amount,
     report_lag,
 )
-from harborbook.operators.skew import salted_join
+from harborbook.operators.lineage import settle
+from harborbook.operators.skew import Hot, attach_totals, salted_join
 from harborbook.plans.attributes import policy_attributes
-from harborbook.plans.exposures import claim_identity, month_end_rows, named, policy_dates, skew_of
+from harborbook.plans.exposures import (
+    book_ledger,
+    claim_identity,
+    hot_in_ledger,
+    month_end_rows,
+    named,
+    policy_dates,
+)
 from harborbook.sources import Book
 
 REPORT_LAG_CAP = 50
@@ -143,13 +150,7 @@ ROW_TIES = (
 )
 
 
-def _first_report(totals: DataFrame) -> DataFrame:
-    """First report of a claim over all its months; a claim has one row per month here."""
-    over_months = F.min("_reported").over(Window.partitionBy("claim_id"))
-    return totals.withColumn("rpt_date", over_months).drop("_reported")
-
-
-def claim_exposures(book: Book, config: MartConfig, spine: DataFrame) -> DataFrame:
+def claim_exposures(book: Book, config: MartConfig, ledger: DataFrame, hot: dict[str, Hot]) -> DataFrame:
     """Distinct exposure rows per month end with amounts, status and report lag."""
     columns = (
         "business_id",
@@ -162,13 +163,12 @@ def claim_exposures(book: Book, config: MartConfig, spine: DataFrame) -> DataFra
         "attorney_authorized_representative_flag",
         "location_of_loss",
     )
-    rows = month_end_rows(book.claims_ledger, book.policies, spine, config, columns)
-    rows = rows.withColumn("eval_date", yyyymm("date"))
-    totals = [
-        F.sum(paid_amount() * F.col("copies")).cast("decimal(28,2)").alias("claim_lvl_eval_paid"),
-        F.min("date_submitted").alias("_reported"),
-    ]
-    rows = open_closed_status(rows, "eval_date", RESERVES, claim_totals=totals, refine=_first_report, skew=skew_of(config))
+    rows = month_end_rows(ledger, book.policies, columns, hot)
+    rows = settle(rows, "reported") if hot["claim"] else rows
+    # First report of the claim over all months; its shuffle by claim serves the totals per month as well.
+    rows = attach_totals(rows, "claim_id", {"rpt_date": F.min("date_submitted")}, hot["claim"])
+    paid = {"claim_lvl_eval_paid": F.sum(paid_amount() * F.col("copies"))}
+    rows = open_closed_status(rows, "eval_date", RESERVES, claim_totals=paid, hot=hot)
     dates = policy_dates()
     return rows.select(
         "eval_date",
@@ -188,7 +188,7 @@ def claim_exposures(book: Book, config: MartConfig, spine: DataFrame) -> DataFra
         *named(loss_measures()),
         "claim_status",
         "exposure_status",
-        "claim_lvl_eval_paid",
+        F.col("claim_lvl_eval_paid").cast("decimal(28,2)").alias("claim_lvl_eval_paid"),
         cat_flag("catastrophe_code", NON_CAT_CODES_CLAIMS, NON_CAT_FRAGMENTS_CLAIMS).alias("cat_ind"),
         "coverage",
         "loss_cause_type_name",
@@ -208,19 +208,20 @@ def claim_development(book: Book, config: MartConfig) -> DataFrame:
     wide columns take no part in the earlier shuffles.
     """
     spine = month_spine(book.periods, config.start, config.through)
-    skew = skew_of(config)
+    ledger = book_ledger(book.claims_ledger, spine, config)
+    hot = hot_in_ledger(ledger, config)
 
-    rows = claim_exposures(book, config, spine).where(F.col("eval_date") >= F.col("eff_period"))
-    rows = fractional_counts(rows, "eval_date", skew)
+    rows = claim_exposures(book, config, ledger, hot).where(F.col("eval_date") >= F.col("eff_period"))
+    rows = fractional_counts(rows, "eval_date", hot | {"claim": hot["trimmed"]})
     rows = rows.withColumn("incurred_non_cat", non_cat("incurred")).withColumn("paid_non_cat", non_cat("paid"))
 
     money = [c for c in CUMULATIVE if c not in COUNTS]
     types = {c: "decimal(15,2)" for c in money} | {c: "decimal(15,6)" for c in COUNTS if c.startswith("count_claim")}
     changes = {c: f"{c}_inc" for c in CUMULATIVE}
-    rows = increments_of_rows(rows, "exposure_id", "eval_date", ROW_TIES, changes, types, skew)
+    rows = increments_of_rows(rows, "exposure_id", "eval_date", ROW_TIES, changes, types, hot["exposure"])
 
     attributes = policy_attributes(book, config, spine).select("policy_reference", *ATTRIBUTES)
-    out = salted_join(rows, attributes, "policy_reference", "left", skew=skew)
+    out = salted_join(rows, attributes, "policy_reference", "left", hot=hot["policy"])
     return out.select(
         *EXPOSURE_COLUMNS, *ATTRIBUTES, "incurred_non_cat", "paid_non_cat", *COUNTS, *changes.values()
     )

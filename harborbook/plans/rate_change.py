@@ -9,12 +9,12 @@ from harborbook.config import MartConfig
 from harborbook.functions import guarded_number, json_fields, json_text
 from harborbook.functions.jsonfields import fill_defaults
 from harborbook.operators.calendars import month_spine
-from harborbook.operators.enrich import book_rows, company_metrics
+from harborbook.operators.enrich import book_rows, company_metrics, hot_businesses
 from harborbook.operators.rating import customer_inception, policy_term, prior_term_pairs, rate_premium
-from harborbook.operators.skew import salted_join
+from harborbook.operators.skew import NO_HOT, Hot, salted_join
 from harborbook.plans.attributes import ALL_TRANS, bound_documents
 from harborbook.plans.catalogue import EQUIPMENT_LIMIT, RATE_CHANGE_FIELDS
-from harborbook.plans.exposures import named, skew_of
+from harborbook.plans.exposures import named
 from harborbook.sources import Book
 
 # Column order of the mart, and what is carried over from the prior term.
@@ -51,7 +51,7 @@ CARRIED = {
 }
 
 
-def pricing_breakdown(book: Book, config: MartConfig) -> DataFrame:
+def pricing_breakdown(book: Book, config: MartConfig, hot: Hot = NO_HOT) -> DataFrame:
     """Policies of the book with their term, rating factors and re-rated premium."""
     spine = month_spine(book.periods, config.start, config.through)
     rows = book_rows(book.snapshots, spine, config, ALL_TRANS, positive_term=True)
@@ -81,7 +81,7 @@ def pricing_breakdown(book: Book, config: MartConfig) -> DataFrame:
     wide = base.join(header, "policy_id").join(documents, "policy_id", "left")
     wide = wide.join(status, "policy_reference", "left")
     inception = customer_inception(base).where(F.col("business_id").isNotNull())
-    wide = salted_join(wide, inception, "business_id", "left", skew=skew_of(config))
+    wide = salted_join(wide, inception, "business_id", "left", hot=hot)
     wide = fill_defaults(wide, RATE_CHANGE_FIELDS)
     premium = rate_premium(
         "exposure", "base_premium_loss_cost", "loss_cost_10K", "ded_factor", "base_premium_lcm", "blanket_factor"
@@ -95,5 +95,6 @@ def pricing_breakdown(book: Book, config: MartConfig) -> DataFrame:
 
 
 def rate_change(book: Book, config: MartConfig) -> DataFrame:
-    policies = pricing_breakdown(book, config).select(*CURRENT)
-    return prior_term_pairs(policies, CARRIED, CURRENT, skew_of(config))
+    hot = hot_businesses(book.snapshots, config)
+    policies = pricing_breakdown(book, config, hot).select(*CURRENT)
+    return prior_term_pairs(policies, CARRIED, CURRENT, hot)

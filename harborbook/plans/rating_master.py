@@ -14,11 +14,12 @@ from harborbook.operators.enrich import (
     book_rows,
     business_profile,
     company_metrics,
-    join_business,
+    hot_businesses,
     newest_policy_row,
 )
 from harborbook.operators.keys import latest_per_key
 from harborbook.operators.losses import lifetime_losses
+from harborbook.operators.skew import salted_join
 from harborbook.operators.rating import base_premium_fallback, tria_indicator
 from harborbook.plans.attributes import bound_documents
 from harborbook.plans.catalogue import CALCULATED_BASE_PREMIUM, FINAL_BASE_PREMIUM, RATING_MASTER_FIELDS
@@ -116,7 +117,8 @@ def rating_master(book: Book, config: MartConfig) -> DataFrame:
 
     wide = base.join(header, "policy_id", "left").join(documents, "policy_id", "left")
     wide = wide.join(status, "policy_reference", "left").join(losses, "policy_reference", "left")
-    wide = join_business(wide, profile.withColumnRenamed("address_county", "county"), config)
+    profile = profile.withColumnRenamed("address_county", "county")
+    wide = salted_join(wide, profile, "business_id", "left", hot=hot_businesses(book.snapshots, config))
     wide = latest_per_key(wide, "policy_reference", "eff_date", LOOKUP_TIES)
     wide = fill_defaults(wide, RATING_MASTER_FIELDS)
     wide = wide.withColumns(
@@ -126,7 +128,8 @@ def rating_master(book: Book, config: MartConfig) -> DataFrame:
             "highest_status_package": F.col("package_name"),
             "tria_ind": tria_indicator("tria_premium"),
             **{f"crime_score_{c.lower()}": F.col(c) for c in CRIMES},
-            **{c: nz(c) for c in ("incurred_loss", "paid_loss", "claim_count", "non_zero_claim_count")},
+            **{c: nz(c).cast("decimal(28,2)") for c in ("incurred_loss", "paid_loss")},
+            **{c: nz(c) for c in ("claim_count", "non_zero_claim_count")},
         }
     )
     return wide.select(*COLUMNS)
