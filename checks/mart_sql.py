@@ -347,9 +347,9 @@ LEFT JOIN losses c ON c.policy_reference = a.policy_reference AND c.eval_date =
 # --- claim development ----------------------------------------------------------------------------
 
 
-def claim_development_sql() -> str:
-    harmless = "lower(a.catastrophe_code) LIKE '%subro%' OR lower(a.catastrophe_code) LIKE '%salv%'"
-    exposures = f"""
+HARMLESS = "lower(a.catastrophe_code) LIKE '%subro%' OR lower(a.catastrophe_code) LIKE '%salv%'"
+CLAIM_EXPOSURE_STEPS = [
+    ("exposures", f"""
 SELECT DISTINCT m.eval_date, m.eval_date_full, a.business_id, a.policy_reference, c.policy_id, a.tpa_name,
        {trimmed("claim_number")}, {trimmed("claim_id")}, a.exposure_number, a.exposure_id,
        CAST(a.policy_start_date AS DATE) AS eff_date, CAST(a.policy_end_date AS DATE) AS exp_date, a.date_of_loss AS acc_date,
@@ -363,16 +363,20 @@ SELECT DISTINCT m.eval_date, m.eval_date_full, a.business_id, a.policy_reference
        {status(RESERVE3, "claim_id", "m.eval_date_full")} AS claim_status,
        {status(RESERVE3, "exposure_id", "m.eval_date_full")} AS exposure_status,
        CAST(sum({PAID}) OVER (PARTITION BY a.claim_id, m.eval_date_full) AS DECIMAL(28,2)) AS claim_lvl_eval_paid,
-       {cat(NON_CAT_CODES_CLAIMS, harmless)}, a.coverage, a.loss_cause_type_name, a.marketing_cob_group AS cob_group, a.cob_name,
+       {cat(NON_CAT_CODES_CLAIMS, HARMLESS)}, a.coverage, a.loss_cause_type_name, a.marketing_cob_group AS cob_group, a.cob_name,
        a.business_state AS state, a.in_suit_flag, a.attorney_authorized_representative_flag, a.location_of_loss
 FROM claims_ledger a JOIN months m ON m.eval_date_full = a.date LEFT JOIN policies c ON c.policy_reference = a.policy_reference
-WHERE a.{LOB} AND a.carrier_name IN ({quoted(CONFIG.carriers)})"""
-    lagged = f"""
+WHERE a.{LOB} AND a.carrier_name IN ({quoted(CONFIG.carriers)})"""),
+    ("lagged", f"""
 SELECT *, CAST(date_diff('day', acc_date, rpt_date) AS INTEGER) AS rpt_lag,
        CAST(CASE WHEN date_diff('day', acc_date, rpt_date) > 50 THEN 50 ELSE date_diff('day', acc_date, rpt_date) END AS INTEGER)
          AS rpt_lag_capped
-FROM exposures"""
-    attributes = ", ".join(f"t.{c}" for c in C.ATTRIBUTES)
+FROM exposures"""),
+]
+
+
+def claim_counts(source: str = "lagged") -> str:
+    """Every column of the exposures with amounts outside catastrophes, counts and claim shares."""
     n_exposure = "count(exposure_id) OVER (PARTITION BY exposure_id, eval_date)"
     n_claim = "count(exposure_id) OVER (PARTITION BY claim_id, eval_date)"
 
@@ -392,10 +396,14 @@ FROM exposures"""
     counts = ", ".join(
         f"{exposures_if(e)} AS exp_cnt{k}, {share_if(c)} AS count_claim{k}" for k, (e, c) in conditions.items()
     )
-    summary = f"""
+    return f"""
 SELECT DISTINCT *, CASE WHEN cat_ind = 'CAT' THEN 0 ELSE incurred END AS incurred_non_cat,
        CASE WHEN cat_ind = 'CAT' THEN 0 ELSE paid END AS paid_non_cat, {counts}
-FROM attached WHERE eval_date >= eff_period"""
+FROM {source}"""
+
+
+def claim_development_sql() -> str:
+    attributes = ", ".join(f"t.{c}" for c in C.ATTRIBUTES)
     money = [c for c in C.CUMULATIVE if c not in C.COUNTS]
     amounts = [*[c for c in money], "paid_non_cat"]
     typed = ", ".join(f"CAST({c} AS DECIMAL(20,2)) AS {c}" for c in amounts)
@@ -407,10 +415,9 @@ FROM attached WHERE eval_date >= eff_period"""
     steps = [
         months(CONFIG.through),
         *ATTRIBUTE_STEPS,
-        ("exposures", exposures),
-        ("lagged", lagged),
-        ("attached", f"SELECT a.*, {attributes} FROM lagged a LEFT JOIN attrs t ON t.policy_reference = a.policy_reference"),
-        ("summary", summary),
+        *CLAIM_EXPOSURE_STEPS,
+        ("attached", f"SELECT a.*, {attributes} FROM lagged a LEFT JOIN attrs t ON t.policy_reference = a.policy_reference WHERE a.eval_date >= a.eff_period"),
+        ("summary", claim_counts("attached")),
     ]
     final = f"""
 SELECT * REPLACE ({typed}), {", ".join(changes)}
@@ -421,13 +428,15 @@ FROM summary WINDOW w AS (PARTITION BY exposure_id ORDER BY eval_date, {ties})""
 # --- coverage detail ------------------------------------------------------------------------------
 
 
-def coverage_detail_sql() -> str:
-    flags = ", ".join(bit(f"a.coverage IN ({quoted(codes)})", family) for family, codes in COVERAGE_FAMILIES.items())
-    exposures = f"""
+_families = ", ".join(bit(f"a.coverage IN ({quoted(codes)})", family) for family, codes in COVERAGE_FAMILIES.items())
+M_EXPOSURES = ("exposures", f"""
 SELECT DISTINCT {COMMON}, a.coverage,
        CASE WHEN try_cast(a.accident_zip_code AS INTEGER) = 0 OR a.accident_zip_code = '' THEN 'n.a.'
-            ELSE right('00000' || a.accident_zip_code, 5) END AS acc_zip_code, {flags}
-{LEDGER_ROWS} AND a.date_of_loss >= DATE '{CONFIG.start}'"""
+            ELSE right('00000' || a.accident_zip_code, 5) END AS acc_zip_code, {_families}
+{LEDGER_ROWS} AND a.date_of_loss >= DATE '{CONFIG.start}'""")
+
+
+def coverage_detail_sql() -> str:
     alias = {"calculation": "r", "calculation_summary": "r"}
     fields = {f.name: f for f in K.COVERAGE_FIELDS}
     numbers = ", ".join(field(f, alias) for f in fields.values())
@@ -459,7 +468,7 @@ WHERE s.end_date > s.start_date"""
         QUOTE,
         RATED,
         *premium_steps("policy_id"),
-        ("exposures", exposures),
+        M_EXPOSURES,
         rollup("claims", M.CLAIM_KEYS, M.AMOUNTS, M.GROUPS),
         ("losses", f"SELECT policy_reference, {', '.join(M.LOSS_GRAIN)}, eval_date, {by_grain} FROM claims GROUP BY ALL"),
         ("variants", variants),
@@ -533,6 +542,15 @@ LEFT JOIN (SELECT DISTINCT * FROM ranked WHERE from_last = 1) b
 # --- rating master --------------------------------------------------------------------------------
 
 
+LIFETIME = ("lifetime", f"""
+SELECT policy_reference, sum(incurred) AS incurred_loss, sum(paid) AS paid_loss,
+       count(DISTINCT claim_id) AS claim_count, count(DISTINCT claim_id) FILTER (WHERE paid > 0) AS non_zero_claim_count
+FROM (SELECT a.policy_reference, a.claim_id, {PAID} AS paid, {INCURRED} AS incurred FROM claims_ledger a WHERE a.{LOB}
+      QUALIFY row_number() OVER (PARTITION BY a.claim_id
+        ORDER BY a.date DESC, {asc(["exposure_id", "policy_reference"], "a.")}, {PAID}, {INCURRED}) = 1)
+GROUP BY ALL""")
+
+
 def rating_master_sql() -> str:
     alias = {"calculation": "r", "quote_package_data": "q"}
     numbers = ", ".join(field(f, alias) for f in K.RATING_MASTER_FIELDS)
@@ -540,13 +558,6 @@ def rating_master_sql() -> str:
     base_text = at("r.calculation", K.CALCULATED_BASE_PREMIUM)
     base_premium = f"""CASE WHEN nullif({final_text}, '') IS NULL THEN {number(base_text, split=True)}
             ELSE {number(final_text, default="0")} END"""
-    lifetime = f"""
-SELECT policy_reference, sum(incurred) AS incurred_loss, sum(paid) AS paid_loss,
-       count(DISTINCT claim_id) AS claim_count, count(DISTINCT claim_id) FILTER (WHERE paid > 0) AS non_zero_claim_count
-FROM (SELECT a.policy_reference, a.claim_id, {PAID} AS paid, {INCURRED} AS incurred FROM claims_ledger a WHERE a.{LOB}
-      QUALIFY row_number() OVER (PARTITION BY a.claim_id
-        ORDER BY a.date DESC, {asc(["exposure_id", "policy_reference"], "a.")}, {PAID}, {INCURRED}) = 1)
-GROUP BY ALL"""
     wide = f"""
 SELECT s.policy_reference, s.policy_id, s.business_id, s.new_renewal, h.yearly_premium, CAST(h.bind_date AS DATE) AS purch_date,
        CAST(s.start_date AS DATE) AS eff_date, CAST(s.end_date AS DATE) AS exp_date, {period("s.start_date")} AS eff_period,
@@ -571,7 +582,7 @@ WHERE s.{LOB} AND s.carrier_name IN ({quoted(CONFIG.carriers)}) AND s.trans IN (
   AND s.date <= (SELECT max(eval_date_full) FROM months) AND s.end_date > s.start_date"""
     crimes = [f"crime_score_{c.lower()}" for c in CRIMES]
     ties = asc([*R.SNAPSHOT_TIES, *[t for t in R.LOOKUP_TIES if t not in CRIMES], *crimes])
-    steps = [months(CONFIG.rating_through), BIND, QUOTE, RATED, ADDRESS, CREDIT, CRIME, ("lifetime", lifetime), ("wide", wide)]
+    steps = [months(CONFIG.rating_through), BIND, QUOTE, RATED, ADDRESS, CREDIT, CRIME, LIFETIME, ("wide", wide)]
     final = f"""
 SELECT {", ".join(R.COLUMNS)} FROM wide
 QUALIFY row_number() OVER (PARTITION BY policy_reference ORDER BY eff_date DESC, {ties}) = 1"""
