@@ -406,7 +406,7 @@ def claim_development_sql() -> str:
     attributes = ", ".join(f"t.{c}" for c in C.ATTRIBUTES)
     money = [c for c in C.CUMULATIVE if c not in C.COUNTS]
     amounts = [*[c for c in money], "paid_non_cat"]
-    typed = ", ".join(f"CAST({c} AS DECIMAL(20,2)) AS {c}" for c in amounts)
+    typed = ", ".join(f"CAST({c} AS DECIMAL(18,2)) AS {c}" for c in amounts)
     changes = [change(c, "w", "DECIMAL(15,2)", f"{c}_inc") for c in money]
     changes += [
         change(c, "w", "DECIMAL(15,6)" if c.startswith("count_claim") else "BIGINT", f"{c}_inc") for c in C.COUNTS

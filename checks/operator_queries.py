@@ -61,7 +61,6 @@ from harborbook.operators.keys import keep_singletons, latest_per_key, top_rank_
 from harborbook.operators.losses import (
     RESERVES,
     cat_flag,
-    claim_rollup,
     coverage_flags,
     family_flags,
     fractional_counts,
@@ -463,7 +462,7 @@ _ROW = "a.exposure_id, a.date"
 
 
 @query(over_book(f"""
-SELECT {_ROW}, {", ".join(f"CAST({sql} AS DECIMAL(20,2)) AS {name}" for name, sql in {
+SELECT {_ROW}, {", ".join(f"CAST({sql} AS DECIMAL(18,2)) AS {name}" for name, sql in {
     "paid": Q.PAID,
     "incurred": Q.INCURRED,
     "incurred_loss_only": Q.add("loss_paid_total", "loss_reserve_total"),
@@ -553,8 +552,7 @@ _P_MEASURES = rollup_measures(list(P.AMOUNTS), P.GROUPS)
     Q.months(CONFIG.through), Q.P_EXPOSURES, Q.rollup("claims", P.CLAIM_KEYS, P.AMOUNTS, P.GROUPS)))
 def claims_rolled_up(spark, sf_dir):
     book = load_book(spark, sf_dir)
-    claims = claim_rollup(P.claim_exposures(book, CONFIG, _spine(book)), P.CLAIM_KEYS, P.AMOUNTS, P.GROUPS)
-    return _typed(claims, _P_MEASURES).select(*P.CLAIM_KEYS, *_P_MEASURES)
+    return _typed(P.claim_losses(book, CONFIG, _spine(book)), _P_MEASURES).select(*P.CLAIM_KEYS, *_P_MEASURES)
 
 
 @query(over_book(

@@ -368,6 +368,7 @@ def spark_view(spark: SparkSession, sf_dir: str, name: str, written: dict[str, s
     return spark.sql("WITH " + ",\n".join(steps) + f"\nSELECT * FROM {name}")
 
 
+LARGE = ("claims_ledger", "snapshots", "rating", "quotes")
 _BOOKS: dict[tuple[str, str], Book] = {}
 
 
@@ -380,6 +381,8 @@ def load_book(spark: SparkSession, sf_dir: str) -> Book:
         for name in ("policy_keys", *LOGICAL):
             view = spark_view(spark, sf_dir, name, written)
             view = conform(view, name) if name in LOGICAL else view
+            # Large views come out of few input splits; several files let every core read.
+            view = view.repartition(spark.sparkContext.defaultParallelism) if name in LARGE else view
             write_mart(view, f"{root}/{name}")
             written[name] = f"{root}/{name}"
         _BOOKS[key] = from_parquet(spark, root)

@@ -28,6 +28,7 @@ from harborbook.plans.exposures import (
     hot_in_ledger,
     month_end_rows,
     named,
+    periods,
     policy_dates,
 )
 from harborbook.sources import Book
@@ -169,7 +170,6 @@ def claim_exposures(book: Book, config: MartConfig, ledger: DataFrame, hot: dict
     rows = attach_totals(rows, "claim_id", {"rpt_date": F.min("date_submitted")}, hot["claim"])
     paid = {"claim_lvl_eval_paid": F.sum(paid_amount() * F.col("copies"))}
     rows = open_closed_status(rows, "eval_date", RESERVES, claim_totals=paid, hot=hot)
-    dates = policy_dates()
     return rows.select(
         "eval_date",
         F.col("date").alias("eval_date_full"),
@@ -180,11 +180,8 @@ def claim_exposures(book: Book, config: MartConfig, ledger: DataFrame, hot: dict
         *named(claim_identity(config)),
         "exposure_number",
         "exposure_id",
-        *[dates[c].alias(c) for c in ("eff_date", "exp_date", "acc_date", "eff_period", "acc_period")],
+        *named(policy_dates()),
         "rpt_date",
-        report_lag("date_of_loss", "rpt_date").alias("rpt_lag"),
-        report_lag("date_of_loss", "rpt_date", REPORT_LAG_CAP).alias("rpt_lag_capped"),
-        F.trunc("date", "month").alias("eval_date_trunc"),
         *named(loss_measures()),
         "claim_status",
         "exposure_status",
@@ -198,7 +195,16 @@ def claim_exposures(book: Book, config: MartConfig, ledger: DataFrame, hot: dict
         "in_suit_flag",
         "attorney_authorized_representative_flag",
         "location_of_loss",
-    ).distinct()
+    ).distinct().withColumns(
+        # These follow from distinct columns.
+        {
+            "rpt_lag": report_lag("acc_date", "rpt_date"),
+            "rpt_lag_capped": report_lag("acc_date", "rpt_date", REPORT_LAG_CAP),
+            "eff_period": periods()["eff_period"],
+            "acc_period": periods()["acc_period"],
+            "eval_date_trunc": F.trunc("eval_date_full", "month"),
+        }
+    )
 
 
 def claim_development(book: Book, config: MartConfig) -> DataFrame:
