@@ -60,7 +60,7 @@ def prior_term_pairs(
 
     ``carried`` maps a column of the earlier policy to its name in the result.  Policies that started on
     the same last day all pair up; without a policy one term earlier the carried columns are NULL.
-    ``hot`` holds the hot values of ``business_id``.
+    ``keep`` contains ``business_id`` and ``policy_term``; ``hot`` holds the hot values of ``business_id``.
     """
     last_of_term = top_rank_per_key(policies, ["business_id", "policy_term"], "eff_date")
     earlier = last_of_term.where(F.col("business_id").isNotNull()).select(
