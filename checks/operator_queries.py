@@ -5,6 +5,7 @@ Operators are run over the whole of the given tables, or over the insurance tabl
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,6 +65,7 @@ from harborbook.operators.losses import (
     coverage_flags,
     family_flags,
     fractional_counts,
+    in_units,
     lifetime_losses,
     loss_measures,
     non_cat,
@@ -71,6 +73,7 @@ from harborbook.operators.losses import (
     peril_flags,
     prior_loss_flag,
     report_lag,
+    rollup_amounts,
     rollup_measures,
     tpa_id_trim,
 )
@@ -291,7 +294,7 @@ def union_of_nations_served(spark, sf_dir):
 @query("SELECT o_orderkey, o_custkey, o_orderstatus, CAST(o_orderdate AS DATE) AS day FROM orders")
 def orders_written_and_read_back(spark, sf_dir):
     days = orders_by_day(spark, sf_dir).select("o_orderkey", "o_custkey", "o_orderstatus", "day")
-    path = f"{shared_folder(spark)}/orders-by-status-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
+    path = f"{shared_folder(spark)}/orders-by-status-{uuid.uuid4().hex}"
     write_mart(days, path, ["o_orderstatus"], ["o_custkey"])
     return spark.read.parquet(path).select(days.columns)
 
@@ -552,7 +555,8 @@ _P_MEASURES = rollup_measures(list(P.AMOUNTS), P.GROUPS)
     Q.months(CONFIG.through), Q.P_EXPOSURES, Q.rollup("claims", P.CLAIM_KEYS, P.AMOUNTS, P.GROUPS)))
 def claims_rolled_up(spark, sf_dir):
     book = load_book(spark, sf_dir)
-    return _typed(P.claim_losses(book, CONFIG, _spine(book)), _P_MEASURES).select(*P.CLAIM_KEYS, *_P_MEASURES)
+    claims = in_units(P.claim_losses(book, CONFIG, _spine(book)), rollup_amounts(list(P.AMOUNTS), P.GROUPS))
+    return _typed(claims, _P_MEASURES).select(*P.CLAIM_KEYS, *_P_MEASURES)
 
 
 @query(over_book(
