@@ -11,6 +11,9 @@ RECOMMENDED = {
     "spark.sql.session.timeZone": "UTC",
     # The rating master is 136 columns wide; the default of 100 would switch code generation off.
     "spark.sql.codegen.maxFields": "400",
+    # The small first-level hash map helps with few groups; the marts group by claim, exposure and policy,
+    # where every row passes through it in vain.
+    "spark.sql.codegen.aggregate.map.twolevel.enabled": "false",
 }
 
 
