@@ -84,3 +84,19 @@ def test_catalog_source_and_sink(spark, book, tmp_path):
     with pytest.raises(ValueError, match="missing columns date"):
         conform(book.periods.drop("date"), "periods")
     assert schema_of("scores").fieldNames() == ["business_id", "score", "creation_time"]
+
+
+def test_options_of_the_policy_marts(spark, book):
+    build = registry.MARTS["policy_monitoring"][0]
+    strict = dict(build(book, replace(CONFIG, strict_types=True)).dtypes)
+    assert strict["ep_inc"] == strict["wp_inc"] == "decimal(10,6)"
+    ordered = build(book, CONFIG, ordered=True)
+    assert dict(ordered.dtypes)["ep_inc"] == "decimal(18,6)" and len(ordered.columns) == 132
+    keys = [tuple(r) for r in ordered.select("policy_reference", "eval_date").collect()]
+    assert keys == sorted(keys, key=lambda k: (k[0] is not None, k[0] or "", k[1]))
+
+
+def test_config_dates():
+    assert CONFIG.through.isoformat() == "2001-06-30"
+    with pytest.raises(ValueError, match="carrier"):
+        replace(CONFIG, carriers=())
