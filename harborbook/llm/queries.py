@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborbook.llm import quality
+from harborbook.llm import bpe, language, quality
 from harborbook.llm.texts import held_out
 
 
@@ -15,6 +16,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary() -> tuple[list[bytes], str]:
+    """Tokens by id and the pattern of words of a public tokenizer."""
+    return bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
+
+
+def op1_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens, pattern = vocabulary()
+    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokens, pattern).drop("text")
+    back = bpe.decode(ids, tokens, pattern)
+    return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    dictionaries = language.learn_dictionaries(docs)
+    out = language.predict_language(docs.select("doc_id", "text"), dictionaries)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.learn(docs, table(spark, sf_dir, "labels"))

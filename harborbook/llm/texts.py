@@ -40,10 +40,9 @@ def held_out(doc_id: Column) -> Column:
 
 
 def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all texts of a batch and where each starts (one more than texts); null is empty."""
-    if texts.null_count:
-        texts = texts.fill_null("")
-    texts = texts.cast(pa.large_string())
+    """Bytes of all texts (or large binary values) of a batch and where each starts (one more than texts); null is empty."""
+    if pa.types.is_string(texts.type) or pa.types.is_large_string(texts.type):
+        texts = (texts.fill_null("") if texts.null_count else texts).cast(pa.large_string())
     if len(texts) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = texts.buffers()
