@@ -27,7 +27,7 @@ from harborbook.llm.texts import powers, text_buffer
 
 #: Token rows that one recursive query starts from, its steps for long words before its last state is taken up by a new
 #: one, characters or tokens that are worked on together, words whose ids are remembered, and bytes of a short word.
-ROWS, STEPS, TOGETHER, REMEMBERED, SHORT = 200_000, 24, 1 << 20, 400_000, 64
+ROWS, STEPS, TOGETHER, REMEMBERED, SHORT = 100_000, 24, 1 << 19, 250_000, 64
 
 
 @dataclass
