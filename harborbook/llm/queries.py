@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborbook.llm import bpe, language, quality
+from harborbook.llm import bpe, language, lines, quality, shards, sketches
 from harborbook.llm.texts import held_out
 
 
@@ -28,6 +28,11 @@ def op1_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.delete_repeated_runs(docs).select("doc_id", "n_runs", "n_deleted", "text")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     dictionaries = language.learn_dictionaries(docs)
@@ -35,6 +40,32 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = sketches.with_next(docs.withColumn("fp", sketches.sketch(F.col("text"))), "doc_id", "text", ["text", "fp"], "next")
+    n, moved = F.length("text"), F.floor(F.length("text") / 3).cast("int")
+    edited = F.concat(F.col("text").substr(F.lit(1), n - moved), F.col("next.text").substr(F.lit(1), moved))
+    docs = docs.select("doc_id", "fp", F.col("next.fp").alias("next_fp"), n.cast("bigint").alias("n_chars"), edited.alias("edited"))
+    docs = docs.withColumn("edited_fp", sketches.sketch(F.col("edited")))
+    return docs.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        sketches.as_text(F.col("fp")).alias("fingerprint"),
+        sketches.as_text(F.col("edited_fp")).alias("edited_fingerprint"),
+        sketches.resemblance(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
+        sketches.resemblance(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        sketches.containment(F.col("fp"), F.col("edited_fp")).alias("contained_in_edited"),
+        sketches.distinct_shingles(F.col("fp")).alias("n_shingles"),
+    )
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shards.balanced_shards(table(spark, sf_dir, "documents"), 40)
+    law, grown = F.lit("rows").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return out.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.learn(docs, table(spark, sf_dir, "labels"))

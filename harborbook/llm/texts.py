@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +26,20 @@ def word_array(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(fold_case(text), F.lit("")), WORD_GAP), lambda w: w != "")
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with ``value`` computed once, also where ``f`` uses it inside another function of an array."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def shingle_hashes(words: Column, size: int = 5) -> Column:
     """Distinct 64-bit hashes of the word shingles; fewer words than ``size`` are one shingle, no words none."""
-    count = F.size(words)
-    rolled = F.transform(F.sequence(F.lit(1), count - (size - 1)), lambda i: F.xxhash64(F.slice(words, i, size)))
-    some = F.when(count >= size, F.array_distinct(rolled)).otherwise(F.array(F.xxhash64(words)))
-    return F.when(count > 0, some).otherwise(F.array().cast("array<bigint>"))
+
+    def of(w: Column) -> Column:
+        rolled = F.transform(F.sequence(F.lit(1), F.size(w) - (size - 1)), lambda i: F.xxhash64(F.slice(w, i, size)))
+        some = F.when(F.size(w) >= size, F.array_distinct(rolled)).otherwise(F.array(F.xxhash64(w)))
+        return F.when(F.size(w) > 0, some).otherwise(F.array().cast("array<bigint>"))
+
+    return bound(words, of)
 
 
 def held_out(doc_id: Column) -> Column:
