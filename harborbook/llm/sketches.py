@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from harborbook.llm.texts import bound, shingle_hashes, word_array
 
-SIZE, WORDS = 256, 5
+SIZE, WORDS = 192, 5
 
 #: Rows of an order that one task handles together, and steps of equal numbers of ids it is cut into at most.
 BLOCK, CUTS = 4_000, 1_024
