@@ -4,11 +4,12 @@
 2. Two linked sets share a shingle among the first quarter (and one) of each, in any common order (prefix filter).  Here
    shingles that very many documents have come last, others by their hash; so a passage that is everywhere brings
    nobody together.  The shared shingles of these prefixes are the tokens.
-3. Similar nodes are partitioned into groups: nodes are compared with the least and the greatest node they share a token
-   with, and what links makes a component, cut into groups of about ``GROUP`` nodes.
+3. Similar nodes are partitioned into groups: nodes are compared with the least and the greatest node of each of their
+   tokens, and what links makes a component, cut into groups of about ``GROUP`` nodes.
 4. The matrix has a row (token, group) for each token that stands in several components.  Through it, every node of the
-   smaller component queries the groups of the other ones.  A group is opened if the query has enough shingles in
-   common with the union of the group's sets; then it is compared with its nodes.  Nodes of one component need no comparison.
+   smaller component queries the groups of the other ones.  The number of tokens they share and the sizes bound the
+   overlap; so does, for groups that are left, the union of their sets.  Only groups that may hold a link are opened
+   and compared with the query.  Nodes of one component need no comparison.
 5. Links make the final components.
 """
 
@@ -30,6 +31,7 @@ WORDS, PERCENT, GROUP = 5, 75, 48
 #: Shingles that come last in the order at most, and how often in a batch and in all one has to occur for that.  Only the
 #: order of shingles depends on this, not the result.
 COMMON, IN_BATCH, IN_ALL = 200_000, 6, 24
+LAST = 2**40
 #: Bits of the filter that picks the texts whose sets are wanted, before the exact join.
 BITS = 1 << 23
 
@@ -100,6 +102,15 @@ def _sets(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.
             yield pa.RecordBatch.from_arrays([batch.column("id").take(rows), pa.array(sets, pa.binary())], names=["node", "set"])
 
 
+def _needed(n, m):
+    """Tokens that linked sets of n and m shingles share at least, as SQL.
+
+    Common shingles up to the end of the earlier prefix are tokens of both; behind it are at most 75 % of the larger set,
+    less one.  Together they must make up three sevenths of both sizes.
+    """
+    return f"((3 * ({n} + {m}) + 6) div 7 - (3 * greatest({n}, {m}) + 3) div 4 + 1)"
+
+
 def _enough(shared: int, union: int) -> bool:
     return 100 * shared >= PERCENT * union
 
@@ -149,7 +160,7 @@ def _wanted_sets(base: DataFrame, wanted: DataFrame) -> DataFrame:
     A filter of fixed size spares most other texts the work; the join decides.
     """
     slot = F.pmod(F.xxhash64("node"), F.lit(BITS))
-    wanted = wanted.withColumn("slot", slot)
+    wanted = wanted.distinct().withColumn("slot", slot)
     used = np.zeros(BITS, bool)
     used[[r[0] for r in wanted.select("slot").distinct().collect()]] = True  # BITS numbers at most
     shared = base.sparkSession.sparkContext.broadcast(np.packbits(used))
@@ -194,36 +205,49 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     many = many.join(F.broadcast(ends), "token").select("token", "node", "low", "high")
     postings = written(rare.union(many), "postings")
 
-    leaders = written(postings.groupBy("node").agg(F.min("low").alias("low"), F.max("high").alias("high")), "leaders")
-    sets = written(_wanted_sets(base, leaders.select("node")), "sets")
-
-    pairs = leaders.select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a != b")
-    links = written(_compare(pairs.distinct(), sets), "links")
+    # An id with several texts has no one size; nothing is concluded from it then.
+    sizes = named.groupBy(F.col("id").alias("node")).agg(F.min("n").alias("n"), F.max("n").alias("most"))
+    sizes = sizes.select("node", F.when(F.col("n") == F.col("most"), F.col("n")).alias("n"))
+    shared = postings.select("node").distinct().join(sizes, "node")
+    shared = written(shared, "nodes")
+    x, y = shared.toDF("a", "na"), shared.toDF("b", "nb")
+    may_link = f"na IS NULL OR nb IS NULL OR (4 * least(na, nb) >= 3 * greatest(na, nb) AND c >= {_needed('na', 'nb')})"
+
+    ends = postings.select(F.col("node").alias("a"), F.col("low").alias("b")).where("a != b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
+    tops = postings.select(F.col("node").alias("a"), F.col("high").alias("b")).where("a != b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
+    pairs = ends.union(tops).join(x, "a").join(y, "b").where(may_link)
+    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    sets = written(_wanted_sets(base, pairs.select(F.explode(F.array("a", "b")).alias("node"))), "sets")
+    links = written(_compare(pairs, sets), "links")
     settled = components(links)
 
-    labels = leaders.select("node").join(settled, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    sizes = written(sizes.where("size > 1"), "sizes")
-    labels = labels.join(sizes, "label", "left").withColumn("size", F.coalesce("size", F.lit(1)))
+    labels = shared.join(settled, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    counts = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    counts = written(counts.where("size > 1"), "sizes")
+    labels = labels.join(counts, "label", "left").withColumn("size", F.coalesce("size", F.lit(1)))
     chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / GROUP))
-    labels = written(labels.withColumn("chunk", chunk), "groups")
+    labels = written(labels.select("node", "n", "label", "size", chunk.alias("chunk")), "groups")
+    groups = labels.groupBy("label", "chunk").agg(F.min(F.coalesce("n", F.lit(0))).alias("low"), F.max(F.coalesce("n", F.lit(LAST))).alias("high"))
 
-    marked = written(postings.select("token", "node").join(labels, "node"), "marked")
-    open_tokens = marked.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("token")
-    open_tokens = written(open_tokens, "tokens")
-    marked = written(marked.join(open_tokens, "token", "left_semi"), "marked")
+    marked = postings.select("token", "node").join(labels, "node")
+    apart = marked.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("token")
+    marked = written(marked.join(written(apart, "tokens"), "token", "left_semi"), "marked")
     matrix = marked.select("token", "label", "size", "chunk").distinct()
     matrix = written(matrix.select("token", F.col("label").alias("to"), F.col("size").alias("to_size"), F.col("chunk").alias("to_chunk")), "matrix")
     queries = marked.join(matrix, "token").where("struct(size, label) < struct(to_size, to)")
-    queries = queries.select(F.col("node").alias("a"), F.col("to").alias("label"), F.col("to_chunk").alias("chunk")).distinct()
-    queries = written(queries, "queries")
-
-    asked = labels.join(queries.select("label", "chunk").distinct(), ["label", "chunk"], "left_semi")
-    members = asked.join(sets, "node").select("label", "chunk", "set")
-    unions = members.groupBy("label", "chunk").applyInArrow(_union, "label bigint, chunk bigint, union binary")
+    queries = queries.groupBy(F.col("node").alias("a"), "n", F.col("to").alias("label"), F.col("to_chunk").alias("chunk")).agg(F.count(F.lit(1)).alias("c"))
+    queries = queries.join(groups, ["label", "chunk"])
+    near = queries.withColumn("low", F.greatest("low", F.expr("(3 * n + 3) div 4"))).withColumn("high", F.least("high", F.expr("(4 * n) div 3")))
+    bound = f"n IS NULL OR (low <= high AND (c >= {_needed('n', 'low')} OR c >= {_needed('n', 'high')}))"
+    queries = written(near.where(bound).select("a", "label", "chunk"), "queries")
+
+    asked = labels.select("label", "chunk", "node").join(queries.select("label", "chunk").distinct(), ["label", "chunk"], "left_semi")
+    asked = written(asked, "asked")
+    sets = written(_wanted_sets(base, asked.select("node").union(queries.select("a"))), "sets")
+    unions = asked.join(sets, "node").select("label", "chunk", "set").groupBy("label", "chunk").applyInArrow(_union, "label bigint, chunk bigint, union binary")
     asking = queries.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
     opened = asking.join(unions, ["label", "chunk"]).mapInArrow(_open, "a bigint, label bigint, chunk bigint")
-    pairs = opened.join(labels.select("label", "chunk", F.col("node").alias("b")), ["label", "chunk"]).select("a", "b")
+    pairs = opened.join(asked.select("label", "chunk", F.col("node").alias("b")), ["label", "chunk"]).select("a", "b")
     more = written(_compare(pairs, sets), "links")
 
     final = components(links.union(more))

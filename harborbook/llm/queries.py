@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harborbook.llm import bpe, contamination, jaccard, language, licenses, lines, quality, shards, sketches, suffixes
+from harborbook.llm.tables import ship_package
 from harborbook.llm.texts import held_out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 from harborbook.llm.tables import written
 from harborbook.llm.texts import _mix, powers, steps
 
-LENGTH, GRAM = 100, 24
+LENGTH, GRAM = 100, 16
 LEFT = LENGTH - GRAM  # bytes before an anchor at most
 #: Bytes of text behind one run, and behind one part.
-RUN, PART = 1 << 22, 6 << 20
+RUN, PART = 1 << 22, 12 << 20
 LAST = 2**63 - 1
 
 
@@ -81,8 +81,9 @@ def _common(rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    raw = [np.ascontiguousarray(a).tobytes() for a in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(struct.pack(f"<{len(raw)}q", *map(len, raw)) + b"".join(raw))
+    """Arrays as one value; bytes of equal weight lie together, since most high ones are 0."""
+    raw = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=6).compress(struct.pack(f"<{len(raw)}q", *map(len, raw)) + b"".join(raw))
 
 
 def _unpack(data: bytes, kinds: tuple) -> list[np.ndarray]:
@@ -90,7 +91,8 @@ def _unpack(data: bytes, kinds: tuple) -> list[np.ndarray]:
     sizes = struct.unpack_from(f"<{len(kinds)}q", whole)
     out, at = [], 8 * len(kinds)
     for size, kind in zip(sizes, kinds, strict=True):
-        out.append(np.frombuffer(whole, kind, size // np.dtype(kind).itemsize, at))
+        planes = np.frombuffer(whole, np.uint8, size, at).reshape(np.dtype(kind).itemsize, -1)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
         at += size
     return out
 
@@ -328,7 +330,10 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     rows that are equal in id and text are not earlier than each other.
     """
     base = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    base = base.withColumn("id", F.coalesce("doc_id", F.lit(LAST))).withColumn("key", F.xxhash64("text"))
+    base = base.withColumn("id", F.coalesce("doc_id", F.lit(LAST)))
+    # Rows are told apart by a hash of the text where ids repeat; elsewhere the id does.
+    repeated = not base.groupBy("id").count().where("count > 1").isEmpty()
+    base = base.withColumn("key", F.xxhash64("text") if repeated else F.lit(0).cast("bigint"))
     size = F.octet_length("text").cast("bigint")
     long = base.where(size >= LENGTH)
     names = long.select("id", "key", size.alias("size"), F.unhex(F.sha2("text", 256)).alias("name"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -26,3 +28,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, for clusters where it is not installed."""
+    context = spark.sparkContext
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    if getattr(context, "_harborbook_shipped", None) != root:
+        target = os.path.join(tempfile.mkdtemp(prefix="package-"), "harborbook")
+        context.addPyFile(shutil.make_archive(target, "zip", root, "harborbook"))
+        context._harborbook_shipped = root
