@@ -170,7 +170,7 @@ class Engine:
             open_ = last[word] >= steps  # stopped by the number of steps, perhaps not at its end
             ready_word, ready_tok = word[~open_], tok[~open_].astype("<u4").tobytes()
             at = np.flatnonzero(np.diff(ready_word, prepend=-1))
-            for w, a, b in zip(ready_word[at].tolist(), at.tolist(), [*at[1:].tolist(), len(ready_word)], strict=True):
+            for w, a, b in zip(ready_word[at].tolist(), at.tolist(), [*at[1:].tolist(), len(ready_word)][: len(at)], strict=True):
                 done[w] = ready_tok[4 * a : 4 * b]
             word, pos, tok = word[open_], pos[open_], tok[open_]
         return done

@@ -77,6 +77,8 @@ def _segments(batches: Iterator[pa.RecordBatch], used: np.ndarray) -> Iterator[p
             order = np.argsort(at, kind="stable")
             at, seed = at[order], seed[order]
             which = np.searchsorted(before, at, side="right") - 1
+            if not len(at):
+                continue
             new = np.ones(len(at), bool)
             new[1:] = (np.diff(at) > WINDOW) | (np.diff(which) > 0)
             first = np.flatnonzero(new)

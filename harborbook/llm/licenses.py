@@ -112,6 +112,8 @@ def license_notices(docs: DataFrame, templates: Mapping[str, str] = NOTICES, *,
                 opened = hit | np.append(False, hit[:-1] & follows[:-1])  # both blocks of a window
                 inside = np.flatnonzero(np.repeat(opened, np.diff(np.append(first, len(shingles)))))
                 inside = inside[_member(shingles[inside], table.all)]
+                if not len(inside):
+                    continue
                 edges = np.flatnonzero(np.diff(of[inside], prepend=-1))
                 for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(inside)], strict=True):
                     mine, where, doc = shingles[inside[a:b]], at[inside[a:b]], int(of[inside[a]])

@@ -1,0 +1,235 @@
+"""Each operator against brute force on small odd inputs: nulls, empty and long texts, ties, repeats, clashing columns."""
+
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+from harborbook.llm import bpe, contamination, jaccard, language, licenses, lines, quality, shards, sketches, suffixes
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def words(text):
+    return WORD.findall((text or "").translate(FOLD))
+
+
+def shingles(text):
+    w = words(text)
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def prose(seed, count):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choices("abcdeéß", k=rng.randrange(2, 8))) for _ in range(count))
+
+
+BASE = prose(1, 120)
+TEXTS = [
+    (1, BASE),
+    (2, BASE),  # a copy
+    (3, BASE + " " + prose(2, 8)),  # nearly one
+    (4, prose(3, 30) + "\n" + prose(4, 60) + "\n" + prose(5, 10)),
+    (5, prose(6, 9) + "\n" + prose(4, 60) + "\n\n" + prose(7, 5)),
+    (6, ""),
+    (7, None),
+    (8, " \t\n "),
+    (9, "ab ab ab " * 200),
+    (10, "one two"),
+    (11, "One  TWO"),
+    (12, prose(8, 4000)),
+    (13, "Hello world's 12345!!  \n\n x y"),
+    (14, "Some text.\nReleased under the MIT License."),
+    (None, prose(9, 40)),
+    (None, None),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """The texts beside columns whose names the operators use themselves."""
+    df = spark.createDataFrame(TEXTS, "doc_id bigint, text string")
+    return df.select("*", F.lit("x").alias("score"), F.lit("y").alias("ids"), F.lit(1).alias("_id"), F.lit(2).alias("id"), F.lit(3).alias("n_runs")).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.limit(0)
+
+
+def by_id(df):
+    return {r["doc_id"]: r for r in df.collect() if r["doc_id"] is not None}
+
+
+def test_bpe_equals_tiktoken_and_round_trips(docs, empty):
+    tokens, pattern = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
+    known = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+    out = bpe.decode(bpe.encode(docs, tokens, pattern), tokens, pattern)
+    rows = out.collect()
+    assert len(rows) == len(TEXTS)
+    for row in rows:
+        assert np.frombuffer(row["ids"], "<u4").tolist() == known.encode_ordinary(row["text"] or "")
+        assert row["n_tokens"] * 4 == len(row["ids"])
+        assert bytes(row["decoded"]) == (row["text"] or "").encode()
+    assert bpe.encode(empty, tokens, pattern).count() == 0
+
+
+def test_word_starts_follow_the_pattern():
+    pattern = bpe.regex.compile(bpe.CLASS_PATTERN)
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("  \n\t'stmdrevlaAé1٣!?.\x1c\x85　🙂½", k=rng.randrange(30))) for _ in range(3000)]
+    whole, bounds = "".join(texts), np.cumsum([0, *map(len, texts)])
+    found, before = bpe.class_starts(whole, bounds)
+    for i, text in enumerate(texts):
+        assert (found[before[i] : before[i + 1]] - bounds[i]).tolist() == [m.start() for m in pattern.finditer(text)]
+
+
+def test_sketches(docs, empty):
+    out = by_id(docs.select("doc_id", "text", sketches.sketch(F.col("text")).alias("s")))
+    for row in out.values():
+        assert len(row["s"]) == min(sketches.SIZE, len(shingles(row["text"])))
+        assert row["s"] == sorted(row["s"])
+    assert out[1]["s"] == out[2]["s"] and out[10]["s"] == out[11]["s"]
+    parts = docs.select(F.lit(1).alias("k"), sketches.sketch(F.col("text")).alias("s"))
+    every = set().union(*[set(r["s"]) for r in parts.collect()])
+    assert sketches.merge_sketches(parts, "k", "s").first()["s"] == sorted(every)[: sketches.SIZE]
+    assert sketches.merge_sketches(parts.limit(0), "k", "s").count() == 0
+
+
+def test_next_row_in_order(spark, monkeypatch):
+    monkeypatch.setattr(sketches, "BLOCK", 3)
+    rows = [(i * i, f"t{i}") for i in range(40)]
+    out = sketches.with_next(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text", ["text"], "next").collect()
+    after = {rows[k][0]: rows[k - 1][1] for k in range(40)}
+    assert {r["doc_id"]: r["next"]["text"] for r in out} == after
+
+
+def test_suffix_dedup(docs, empty):
+    out = by_id(suffixes.remove_repeats(docs))
+    seen = set()
+    for i, text in sorted((i, t) for i, t in TEXTS if i is not None and t is not None):
+        raw = text.encode()
+        gone = bytearray(len(raw))
+        for p in range(len(raw) - 99):
+            if raw[p : p + 100] in seen:
+                gone[p : p + 100] = b"\1" * 100
+            seen.add(raw[p : p + 100])
+        assert bytes(out[i]["kept"]) == bytes(c for c, g in zip(raw, gone, strict=True) if not g)
+        assert out[i]["n_spans"] == sum(1 for k, g in enumerate(gone) if g and (not k or not gone[k - 1]))
+    assert out[7]["n_bytes"] == 0 and suffixes.remove_repeats(empty).count() == 0
+
+
+def test_loser_tree_merges_front_coded_runs():
+    rng = random.Random(5)
+    runs, every = [], []
+    for _ in range(7):
+        strings = sorted(bytes(rng.choices(b"ab", k=rng.randrange(1, 8))) for _ in range(rng.randrange(0, 30)))
+        common = [0] + [next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b))) for a, b in zip(strings, strings[1:], strict=False)]
+        runs.append((common[: len(strings)], [s[c:] for s, c in zip(strings, common, strict=False)]))
+        every.append(strings)
+    run, at, share = suffixes.merge_runs(runs)
+    merged = [every[r][k] for r, k in zip(run, at, strict=True)]
+    assert merged == sorted(s for strings in every for s in strings)
+    for a, b, n in zip(merged, merged[1:], share[1:], strict=False):
+        assert a[:n] == b[:n] and (n == min(len(a), len(b)) or a[n] != b[n])
+
+
+def test_contamination_with_replaced_words(spark, docs, empty):
+    item = prose(4, 60).split(" ")
+    changed = [w if k % 6 else "zzz" for k, w in enumerate(item)]
+    bench = spark.createDataFrame([(1, " ".join(changed)), (2, prose(77, 40)), (3, None), (4, ""), (5, "one two")], "item_id bigint, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in contamination.contaminated(docs, bench).collect()}
+    assert found == {(4, 1), (5, 1)}
+    assert contamination.contaminated(empty, bench).count() == 0
+    assert contamination.contaminated(docs, bench.limit(0)).count() == 0
+
+
+def test_masks_miss_no_allowed_replacement():
+    from itertools import combinations
+
+    masks = [[k for k, c in enumerate(m) if c == "1"] for m in contamination.MASKS]
+    for size in range(contamination.LEAST, contamination.WINDOW + 1):
+        wrong = size - int(np.ceil(contamination.SAME * size - 1e-9))
+        for bad in combinations(range(size), wrong):
+            assert any(not {o + k for k in m} & set(bad) for m in masks for o in range(size - m[-1]))
+
+
+def test_shards(docs, spark, empty):
+    out = shards.balanced_shards(docs, 4).collect()
+    assert len(out) == len(TEXTS)
+    rows = {k: [r for r in out if r["shard"] == k] for k in range(4)}
+    assert {len(v) for v in rows.values()} == {4}
+    assert all(sorted(r["slot"] for r in v) == list(range(len(v))) for v in rows.values())
+    for r in out:
+        if r["doc_id"] is not None:
+            raw = (dict(TEXTS)[r["doc_id"]] or "").encode()
+            assert (r["size"], r["text_crc32"]) == (len(raw) + 16, zlib.crc32(raw))
+    assert shards.balanced_shards(empty, 4).count() == 0
+    many = spark.range(400).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 150).cast("string")).alias("text"))
+    placed = shards.balanced_shards(many, 8).groupBy("shard").count().collect()
+    assert {r["count"] for r in placed} == {50}
+
+
+def test_license_notices(docs, empty):
+    assert [(r["doc_id"], r["license"]) for r in licenses.license_notices(docs).collect()] == [(14, "MIT")]
+    assert licenses.license_notices(empty).count() == 0
+    with pytest.raises(Exception, match="allowed"):
+        licenses._Templates({"x": "w " * (licenses.MOST_WORDS + 1)})
+
+
+def test_quality(spark, docs, empty):
+    good = [(i, prose(i, 40) + ".", 1) for i in range(300)]
+    bad = [(i + 300, " ".join(w + "###" for w in prose(i, 40).split()), 0) for i in range(300)]
+    rows = spark.createDataFrame(good + bad, "doc_id bigint, text string, quality int")
+    model = quality.learn(rows.drop("quality"), rows.select("doc_id", "quality"))
+    scored = quality.score_quality(rows, model).collect()
+    assert sum((r["score"] >= 0.7) == bool(r["quality"]) for r in scored) > 590
+    out = quality.score_quality(docs, model)
+    assert out.columns == [c for c in docs.columns if c != "score"] + ["score"]
+    assert all(0 <= r["score"] <= 1 for r in out.collect())
+    nothing = quality.learn(empty, rows.select("doc_id", "quality").limit(0))
+    assert 0 <= quality.score_quality(docs, nothing).first()["score"] <= 1
+
+
+def test_line_runs(docs, empty):
+    out = by_id(lines.delete_repeated_runs(docs))
+    given = dict(TEXTS)
+    assert out[5]["text"] == "\n".join([prose(6, 9), "", prose(7, 5)]) and out[5]["n_deleted"] == 1
+    assert out[2]["text"] == "" and out[1]["text"] == BASE
+    for i in (3, 4, 6, 7, 8, 9, 10, 12, 13):
+        assert out[i]["text"] == given[i] and out[i]["n_runs"] == 0
+    assert lines.delete_repeated_runs(empty).count() == 0
+
+
+def test_language(spark, docs, empty):
+    a = [(i, "the of and that with this " * (1 + i % 3) + prose(i, 3), "en") for i in range(80)]
+    b = [(i + 100, "der die das und nicht ein " * (1 + i % 3) + prose(i, 3), "de") for i in range(80)]
+    rows = spark.createDataFrame(a + b, "doc_id bigint, text string, lang string")
+    known = language.learn_dictionaries(rows)
+    assert set(known) == {"en", "de"}
+    out = language.predict_language(rows, known).collect()
+    assert sum(r["lang_pred"] == r["lang"] for r in out) > 155
+    odd = by_id(language.predict_language(docs, known))
+    assert all(odd[i]["lang_pred"] == "und" for i in (6, 7, 8)) and odd[10]["lang_pred"] in known
+    assert language.predict_language(empty, known).count() == 0
+    assert {r["lang_pred"] for r in language.predict_language(docs, {}).collect()} == {"und"}
+
+
+def test_jaccard_components(docs, empty):
+    out = by_id(jaccard.jaccard_components(docs))
+    sets = {i: shingles(t) for i, t in TEXTS if i is not None}
+    label = {i: i for i in sets}
+    for _ in sets:
+        for i in sets:
+            for j in sets:
+                if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                    label[i] = label[j] = min(label[i], label[j])
+    assert {i: (out[i]["n_shingles"], out[i]["component_id"]) for i in sets} == {i: (len(s), label[i]) for i, s in sets.items()}
+    assert label[3] == 1 and label[11] == 10
+    assert jaccard.jaccard_components(empty).count() == 0
