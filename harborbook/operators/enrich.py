@@ -38,14 +38,16 @@ def latest_bind(transactions: DataFrame, lob: str, columns: Sequence[str]) -> Da
 
 
 def latest_quote(quotes: DataFrame, columns: Sequence[str]) -> DataFrame:
-    wanted = quotes.select("quote_id", "creation_time", *columns)
+    """Newest row per quote; of equally new ones the same is picked in every run."""
+    wanted = quotes.select("quote_id", "creation_time", *columns).withColumn("_row", F.xxhash64(*columns))
     ties = [c for c in columns if c != "quote_package_data"]
-    return latest_per_key(wanted, "quote_id", "creation_time", ties).drop("creation_time")
+    return latest_per_key(wanted, "quote_id", "creation_time", [*ties, "_row"]).drop("creation_time", "_row")
 
 
 def latest_rating(rating: DataFrame, lob: str, columns: Sequence[str]) -> DataFrame:
     wanted = rating.where(F.col("lob") == lob).select("job_id", "dateid", "update_time", *columns)
-    return latest_per_key(wanted, "job_id", ["dateid", "update_time"]).drop("dateid", "update_time")
+    wanted = wanted.withColumn("_row", F.xxhash64(*columns))
+    return latest_per_key(wanted, "job_id", ["dateid", "update_time"], ["_row"]).drop("dateid", "update_time", "_row")
 
 
 def latest_address(addresses: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from harborbook.functions import days_between, fraction_of, nz, yyyymm
 from harborbook.operators.lineage import settle
-from harborbook.operators.skew import NO_HOT, Hot, salted_join
+from harborbook.operators.skew import NO_HOT, Hot
 
 
 def monthly_amounts(tx: DataFrame, key: str, date_col: str, measures: Mapping[str, Column]) -> DataFrame:
@@ -98,9 +98,8 @@ def increments_of_rows(
     """``increments`` where a key may have any number of rows per period, ordered by ``tie_break``.
 
     Without hot keys this is one window.  Otherwise no task holds a key: rows are compared inside
-    ``(key, period)``, and only the last row of each period travels on to the first row of the next.  A
-    period with more than ``hot.skew.rows`` rows is cut into runs of about that size which follow one
-    another; tied rows have no order of their own, so this is one of theirs.
+    ``(key, period)``, and only the last row of each period travels on to the first row of the next, which
+    gives the rows of the window.  ``tie_break`` should order the rows of a period fully.
     """
     types = types or {}
     ties = [F.asc_nulls_first(t) for t in tie_break]
@@ -114,15 +113,11 @@ def increments_of_rows(
         return df.select("*", *changes)
 
     values = F.struct(*columns)
-    sizes = df.groupBy(key, order).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= hot.skew.rows)
-    rows = salted_join(df, sizes, [key, order], "left", hot=hot, hot_on=[key], null_safe=True)
-    runs = F.ceil(F.coalesce("_n", F.lit(1)) / hot.skew.rows)
     # A struct equals another with NULL in the same places, so NULL keys stay a group of their own.
-    bucket = F.struct(key, order, F.pmod(F.xxhash64(*tie_break), runs).alias("run"))
-    rows = settle(rows.withColumn("_bucket", bucket).drop("_n"), "increments")
+    rows = settle(df.withColumn("_bucket", F.struct(key, order)), "increments")
 
     last = rows.groupBy("_bucket").agg(F.max_by(values, F.struct(*tie_break)).alias("_last"))
-    chain = Window.partitionBy(F.col("_bucket")[key]).orderBy(F.col("_bucket")[order], F.col("_bucket")["run"])
+    chain = Window.partitionBy(F.col("_bucket")[key]).orderBy(F.col("_bucket")[order])
     before = last.select("_bucket", F.lag("_last").over(chain).alias("_before"))
 
     inside = Window.partitionBy("_bucket").orderBy(*ties)

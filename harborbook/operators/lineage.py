@@ -8,14 +8,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; one of our own only where none is named, as in tests."""
+    """The folder named in ``spark.checkpoint.dir``; one of our own only where none is named and Spark is local."""
     context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="harborbook-")
-        context.setCheckpointDir(named)
-    return named
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named:
+        return named
+    if not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = tempfile.mkdtemp(prefix="harborbook-")
+    return _OWN[context.applicationId]
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:

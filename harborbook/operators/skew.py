@@ -2,8 +2,8 @@
 
 A window or a shuffled join sends all rows of a key to one task.  ``find_hot_keys`` therefore looks
 for keys with very many rows first: it counts rows per hash of the key columns, pre-aggregated on the
-map side, and brings the ``TRACKED`` largest counts to the driver at most.  Ordinary data has no such
-key, and then the operators here are the plain Spark ones.  Otherwise the rows of the hot keys are
+map side, and brings the hashes of the hot ones to the driver, all of them: of n rows there are at most
+n / ``Skew.rows`` for each kind of key.  Ordinary data has no such key, and then the operators here are the plain Spark ones.  Otherwise the rows of the hot keys are
 spread over ``splits`` sub-keys:
 
 * a total is pre-aggregated before its shuffle and joined back, instead of a window;
@@ -24,8 +24,6 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TRACKED = 256
-
 
 @dataclass(frozen=True)
 class Skew:
@@ -55,12 +53,12 @@ NO_HOT = Hot()
 def find_hot_keys(df: DataFrame, keys: Mapping[str, Sequence[str]], skew: Skew) -> dict[str, Hot]:
     """Hot values of several keys in one pass over their columns; NULL is a value like any other.
 
-    Runs a job when called; ``TRACKED`` small rows reach the driver at most.
+    Runs a job when called; a key with ``skew.rows`` rows or more is never left out.
     """
     kinds = [F.struct(F.lit(name).alias("kind"), F.xxhash64(*columns).alias("hash")) for name, columns in keys.items()]
     counts = df.select(F.inline(F.array(*kinds))).groupBy("kind", "hash").agg(F.count(F.lit(1)).alias("n"))
-    largest = counts.where(F.col("n") >= skew.rows).orderBy(F.desc("n"), "kind", "hash").limit(TRACKED).collect()
-    return {name: Hot(tuple(r["hash"] for r in largest if r["kind"] == name), skew) for name in keys}
+    hot = counts.where(F.col("n") >= skew.rows).select("kind", "hash").collect()
+    return {name: Hot(tuple(sorted(r["hash"] for r in hot if r["kind"] == name)), skew) for name in keys}
 
 
 def fold_copies(df: DataFrame, hot: Hot, count_col: str = "copies") -> DataFrame:
