@@ -121,7 +121,7 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = []
         for k, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
             p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            if _enough(min(len(p), len(q)), max(len(p), len(q))):
+            if len(p) and len(q) and _enough(min(len(p), len(q)), max(len(p), len(q))):
                 shared = len(np.intersect1d(p, q, assume_unique=True))
                 if _enough(shared, len(p) + len(q) - shared):
                     keep.append(k)
