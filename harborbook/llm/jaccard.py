@@ -232,9 +232,12 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     marked = postings.select("token", "node").join(labels, "node")
     apart = marked.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("token")
     marked = written(marked.join(written(apart, "tokens"), "token", "left_semi"), "marked")
-    matrix = marked.select("token", "label", "size", "chunk").distinct()
-    matrix = written(matrix.select("token", F.col("label").alias("to"), F.col("size").alias("to_size"), F.col("chunk").alias("to_chunk")), "matrix")
+    matrix = marked.select("token", "label", "size", "chunk").distinct().join(groups, ["label", "chunk"])
+    to = [F.col("label").alias("to"), F.col("size").alias("to_size"), F.col("chunk").alias("to_chunk")]
+    matrix = written(matrix.select("token", *to, F.col("low").alias("to_low"), F.col("high").alias("to_high")), "matrix")
     queries = marked.join(matrix, "token").where("struct(size, label) < struct(to_size, to)")
+    # Sizes alone rule out most groups, before anything is counted and shuffled.
+    queries = queries.where("n IS NULL OR (4 * to_high >= 3 * n AND 3 * to_low <= 4 * n)")
     queries = queries.groupBy(F.col("node").alias("a"), "n", F.col("to").alias("label"), F.col("to_chunk").alias("chunk")).agg(F.count(F.lit(1)).alias("c"))
     queries = queries.join(groups, ["label", "chunk"])
     near = queries.withColumn("low", F.greatest("low", F.expr("(3 * n + 3) div 4"))).withColumn("high", F.least("high", F.expr("(4 * n) div 3")))
