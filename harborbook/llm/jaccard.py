@@ -129,20 +129,27 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").take(rows), batch.column("b").take(rows)], names=["a", "b"])
 
 
+def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets by the upper half of each hash: as many equal halves as equal hashes, or more, so what bounds one bounds the other."""
+    for batch in batches:
+        halves = [(np.frombuffer(x.as_buffer(), np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes() for x in batch.column("set")]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(halves, pa.binary())], names=["node", "half"])
+
+
 def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Queries (a) and groups whose union holds enough of the query."""
     for batch in batches:
         keep = []
         for k, (x, y) in enumerate(zip(batch.column("x"), batch.column("union"), strict=True)):
-            p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            if 100 * len(np.intersect1d(p, q, assume_unique=True)) >= PERCENT * len(p):
+            p, q = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
+            if len(p) and len(q) and 100 * int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum()) >= PERCENT * len(p):
                 keep.append(k)
         rows = pa.array(keep, pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column(c).take(rows) for c in ("a", "label", "chunk")], names=["a", "label", "chunk"])
 
 
 def _union(key, rows):
-    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("set")]
+    sets = [np.frombuffer(x.as_buffer(), np.uint32) for x in rows.column("half")]
     union = np.unique(np.concatenate(sets)).tobytes()
     return pa.table({"label": pa.array([key[0].as_py()], pa.int64()), "chunk": pa.array([key[1].as_py()], pa.int64()), "union": pa.array([union], pa.binary())})
 
@@ -247,8 +254,9 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     asked = labels.select("label", "chunk", "node").join(queries.select("label", "chunk").distinct(), ["label", "chunk"], "left_semi")
     asked = written(asked, "asked")
     sets = written(_wanted_sets(base, asked.select("node").union(queries.select("a"))), "sets")
-    unions = asked.join(sets, "node").select("label", "chunk", "set").groupBy("label", "chunk").applyInArrow(_union, "label bigint, chunk bigint, union binary")
-    asking = queries.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
+    halves = sets.mapInArrow(_halves, "node bigint, half binary")
+    unions = asked.join(halves, "node").select("label", "chunk", "half").groupBy("label", "chunk").applyInArrow(_union, "label bigint, chunk bigint, union binary")
+    asking = queries.join(halves.select(F.col("node").alias("a"), F.col("half").alias("x")), "a")
     opened = asking.join(unions, ["label", "chunk"]).mapInArrow(_open, "a bigint, label bigint, chunk bigint")
     pairs = opened.join(asked.select("label", "chunk", F.col("node").alias("b")), ["label", "chunk"]).select("a", "b")
     more = written(_compare(pairs, sets), "links")
