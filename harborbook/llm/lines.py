@@ -92,7 +92,9 @@ def delete_repeated_runs(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     runs = repeated_runs(docs, doc_id=doc_id, text=text, words=words)
     runs = runs.groupBy("_id", "_text").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("_runs"))
     runs = written(runs.select(F.col("_id").alias("_of"), F.col("_text").alias("_of_text"), "_runs"), "runs")
-    joined = _keyed(docs, doc_id, text).join(runs, (F.col("_id") == F.col("_of")) & (F.col("_text") == F.col("_of_text")), "left")
+    # One plan at every size: the runs grow with the documents, so they are never broadcast.
+    same = (F.col("_id") == F.col("_of")) & (F.col("_text") == F.col("_of_text"))
+    joined = _keyed(docs, doc_id, text).join(runs.hint("merge"), same, "left")
 
     number = F.size("_runs")
 
