@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -233,3 +234,10 @@ def test_jaccard_components(docs, empty):
     assert {i: (out[i]["n_shingles"], out[i]["component_id"]) for i in sets} == {i: (len(s), label[i]) for i, s in sets.items()}
     assert label[3] == 1 and label[11] == 10
     assert jaccard.jaccard_components(empty).count() == 0
+
+
+def test_empty_sets_are_linked_with_nothing():
+    one, none = np.array([1 << 40, 1 << 41], np.uint64).tobytes(), b""
+    columns = {"a": [1, 2, 3], "b": [4, 5, 6], "x": [one, none, none], "y": [one, none, one]}
+    pairs = pa.RecordBatch.from_pydict(columns, pa.schema([("a", pa.int64()), ("b", pa.int64()), ("x", pa.binary()), ("y", pa.binary())]))
+    assert [b.to_pydict() for b in jaccard._linked([pairs])] == [{"a": [1], "b": [4]}]
