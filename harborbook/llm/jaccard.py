@@ -11,6 +11,8 @@
    overlap; so does, for groups that are left, the union of their sets.  Only groups that may hold a link are opened
    and compared with the query.  Nodes of one component need no comparison.
 5. Links make the final components.
+
+Both sides of a join between nodes, tokens, groups or sets grow with the documents, so these are merge joins at every size.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harborbook.llm.components import components
@@ -158,22 +160,34 @@ def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that are links."""
     x = sets.select(F.col("node").alias("a"), F.col("set").alias("x"))
     y = sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
-    return pairs.join(x, "a").join(y, "b").mapInArrow(_linked, "a bigint, b bigint")
+    return pairs.hint("merge").join(x, "a").join(y.hint("merge"), "b").mapInArrow(_linked, "a bigint, b bigint")
 
 
-def _wanted_sets(base: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, set) of the wanted nodes, from their texts again: most sets are never asked for, so they are not kept.
+def _slot(node: str) -> Column:
+    return F.pmod(F.xxhash64(node), F.lit(BITS)).alias("slot")
 
-    A filter of fixed size spares most other texts the work; the join decides.
-    """
-    slot = F.pmod(F.xxhash64("node"), F.lit(BITS))
-    wanted = wanted.distinct().withColumn("slot", slot)
+
+def _used_slots(wanted: DataFrame):
+    """Broadcast bits: which slots the ids in ``wanted`` (node) fall into."""
     used = np.zeros(BITS, bool)
-    used[[r[0] for r in wanted.select("slot").distinct().collect()]] = True  # BITS numbers at most
-    shared = base.sparkSession.sparkContext.broadcast(np.packbits(used))
-    slotted = base.select(F.col("id"), F.pmod(F.xxhash64("id"), F.lit(BITS)).alias("slot"), "text")
-    sets = slotted.mapInArrow(lambda b: _sets(b, np.unpackbits(shared.value).astype(bool)), "node bigint, set binary")
-    return sets.join(wanted.select("node"), "node", "left_semi")
+    slots = wanted.select(_slot("node")).distinct()
+    used[[r[0] for r in slots.collect()]] = True  # BITS numbers at most
+    return wanted.sparkSession.sparkContext.broadcast(np.packbits(used))
+
+
+def _in_slots(batches: Iterator[pa.RecordBatch], used: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = pa.array(np.flatnonzero(used[batch.column("slot").to_numpy()]))
+        yield batch.select(["node", "set"]).take(rows)
+
+
+def _wanted_sets(base: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, set) of the wanted nodes and of few others, from their texts again: most sets are never asked for, so they
+    are not kept.  A filter of fixed size spares most other texts the work; the joins that follow drop the rest.
+    """
+    used = _used_slots(wanted)
+    slotted = base.where("id IS NOT NULL").select("id", _slot("id"), "text")
+    return slotted.mapInArrow(lambda b: _sets(b, np.unpackbits(used.value).astype(bool)), "node bigint, set binary")
 
 
 def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -205,8 +219,10 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     tokens = named.join(copies, "id", "left_anti").select(F.col("id").alias("node"), F.explode("prefix").alias("token"))
     late = spark.createDataFrame([(int(t),) for t in common.view(np.int64)], "token bigint")
     rare = tokens.join(F.broadcast(late), "token", "left_anti")  # COMMON rows at most
-    rare = rare.groupBy("token").agg(F.collect_set("node").alias("nodes")).where(F.size("nodes") > 1)
-    rare = rare.select("token", F.explode("nodes").alias("node"), F.array_min("nodes").alias("low"), F.array_max("nodes").alias("high"))
+    # One shuffle by token: the ends of a token, and after most tokens are gone, its nodes once each.
+    of_token = Window.partitionBy("token")
+    rare = rare.withColumn("low", F.min("node").over(of_token)).withColumn("high", F.max("node").over(of_token))
+    rare = rare.where("low != high").groupBy("token", "node").agg(F.first("low").alias("low"), F.first("high").alias("high"))
     many = tokens.join(F.broadcast(late), "token").distinct()
     ends = many.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high")
     many = many.join(F.broadcast(ends), "token").select("token", "node", "low", "high")
@@ -222,7 +238,7 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
 
     ends = postings.select(F.col("node").alias("a"), F.col("low").alias("b")).where("a != b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
     tops = postings.select(F.col("node").alias("a"), F.col("high").alias("b")).where("a != b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
-    pairs = ends.union(tops).join(x, "a").join(y, "b").where(may_link)
+    pairs = ends.union(tops).join(x.hint("merge"), "a").join(y.hint("merge"), "b").where(may_link)
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     sets = written(_wanted_sets(base, pairs.select(F.explode(F.array("a", "b")).alias("node"))), "sets")
     links = written(_compare(pairs, sets), "links")
@@ -233,32 +249,39 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     counts = written(counts.where("size > 1"), "sizes")
     labels = labels.join(counts, "label", "left").withColumn("size", F.coalesce("size", F.lit(1)))
     chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / GROUP))
-    labels = written(labels.select("node", "n", "label", "size", chunk.alias("chunk")), "groups")
+    labels = written(labels.select("node", "n", "label", "size", chunk.alias("chunk")), "nodes")
     groups = labels.groupBy("label", "chunk").agg(F.min(F.coalesce("n", F.lit(0))).alias("low"), F.max(F.coalesce("n", F.lit(LAST))).alias("high"))
+    labels = written(labels.join(groups, ["label", "chunk"]), "groups")
 
-    marked = postings.select("token", "node").join(labels, "node")
+    marked = postings.select("token", "node").join(labels.hint("merge"), "node")
     apart = marked.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("token")
-    marked = written(marked.join(written(apart, "tokens"), "token", "left_semi"), "marked")
-    matrix = marked.select("token", "label", "size", "chunk").distinct().join(groups, ["label", "chunk"])
-    to = [F.col("label").alias("to"), F.col("size").alias("to_size"), F.col("chunk").alias("to_chunk")]
-    matrix = written(matrix.select("token", *to, F.col("low").alias("to_low"), F.col("high").alias("to_high")), "matrix")
-    queries = marked.join(matrix, "token").where("struct(size, label) < struct(to_size, to)")
+    marked = written(marked.join(written(apart, "tokens").hint("merge"), "token", "left_semi"), "marked")
+    to = [F.col(c).alias(f"to_{c}") for c in ("label", "size", "chunk", "low", "high")]
+    matrix = written(marked.select("token", *to).distinct(), "matrix")
+    queries = marked.select("token", "node", "n", "label", "size").join(matrix.hint("merge"), "token")
+    queries = queries.where("struct(size, label) < struct(to_size, to_label)")
     # Sizes alone rule out most groups, before anything is counted and shuffled.
     queries = queries.where("n IS NULL OR (4 * to_high >= 3 * n AND 3 * to_low <= 4 * n)")
-    queries = queries.groupBy(F.col("node").alias("a"), "n", F.col("to").alias("label"), F.col("to_chunk").alias("chunk")).agg(F.count(F.lit(1)).alias("c"))
-    queries = queries.join(groups, ["label", "chunk"])
+    counts = [F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("to_low").alias("low"), F.first("to_high").alias("high")]
+    queries = queries.groupBy(F.col("node").alias("a"), F.col("to_label").alias("label"), F.col("to_chunk").alias("chunk")).agg(*counts)
     near = queries.withColumn("low", F.greatest("low", F.expr("(3 * n + 3) div 4"))).withColumn("high", F.least("high", F.expr("(4 * n) div 3")))
     bound = f"n IS NULL OR (low <= high AND (c >= {_needed('n', 'low')} OR c >= {_needed('n', 'high')}))"
-    queries = written(near.where(bound).select("a", "label", "chunk"), "queries")
+    queries = written(near.where(bound).select("a", F.col("n").alias("na"), "label", "chunk"), "queries")
 
-    asked = labels.select("label", "chunk", "node").join(queries.select("label", "chunk").distinct(), ["label", "chunk"], "left_semi")
+    asked = labels.select("label", "chunk", "node", "n").join(queries.select("label", "chunk").distinct(), ["label", "chunk"], "left_semi")
     asked = written(asked, "asked")
     sets = written(_wanted_sets(base, asked.select("node").union(queries.select("a"))), "sets")
     halves = sets.mapInArrow(_halves, "node bigint, half binary")
-    unions = asked.join(halves, "node").select("label", "chunk", "half").groupBy("label", "chunk").applyInArrow(_union, "label bigint, chunk bigint, union binary")
-    asking = queries.join(halves.select(F.col("node").alias("a"), F.col("half").alias("x")), "a")
-    opened = asking.join(unions, ["label", "chunk"]).mapInArrow(_open, "a bigint, label bigint, chunk bigint")
-    pairs = opened.join(asked.select("label", "chunk", F.col("node").alias("b")), ["label", "chunk"]).select("a", "b")
+    unions = asked.hint("merge").join(halves, "node").select("label", "chunk", "half").groupBy("label", "chunk").applyInArrow(_union, "label bigint, chunk bigint, union binary")
+    asking = queries.hint("merge").join(halves.select(F.col("node").alias("a"), F.col("half").alias("x")), "a")
+    opened = written(asking.join(unions.hint("merge"), ["label", "chunk"]).mapInArrow(_open, "a bigint, label bigint, chunk bigint"), "opened")
+    opened = opened.join(queries, ["a", "label", "chunk"])
+    pairs = opened.join(asked.select("label", "chunk", F.col("node").alias("b"), F.col("n").alias("nb")), ["label", "chunk"])
+    pairs = pairs.where("na IS NULL OR nb IS NULL OR 4 * least(na, nb) >= 3 * greatest(na, nb)")
+    pairs = written(pairs.select("a", "b"), "pairs")
+    # Of the sets, only those of pairs are moved; a filter of fixed size finds most others where they lie.
+    used = _used_slots(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+    sets = sets.select("node", "set", _slot("node")).mapInArrow(lambda b: _in_slots(b, np.unpackbits(used.value).astype(bool)), "node bigint, set binary")
     more = written(_compare(pairs, sets), "links")
 
     final = components(links.union(more))
