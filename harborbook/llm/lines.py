@@ -66,11 +66,12 @@ def repeated_runs(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     mark = F.struct("place._id", "place._text", "mark.line")
     marks = windows.groupBy(F.col("mark.h").alias("h")).agg(F.min(mark).alias("x"), F.max(mark).alias("y"))
     marks = written(marks.where("x != y").select("h"), "marks")
-    found = windows.join(marks, F.col("mark.h") == F.col("h"), "left_semi")
+    # Fingerprints and repeated windows grow with the documents, so they are never broadcast.
+    found = windows.join(marks.hint("merge"), F.col("mark.h") == F.col("h"), "left_semi")
 
     origins = found.groupBy("a", "b").agg(F.min("place").alias("origin"), F.max("place").alias("y"))
     origins = written(origins.where("origin != y").select("a", "b", "origin"), "origins")
-    later = found.join(origins, ["a", "b"]).where(F.col("place") > F.col("origin"))
+    later = found.join(origins.hint("merge"), ["a", "b"]).where(F.col("place") > F.col("origin"))
     spans = later.select("place._id", "place._text", "place.first", "last").distinct()
 
     doc = Window.partitionBy("_id", "_text").orderBy("first", "last")
