@@ -26,12 +26,17 @@ def _windows(docs: DataFrame, words: int) -> DataFrame:
     """(place, last, mark, a, b) of every window over (_id, _text, _lines).
 
     ``place`` is (id, hash of the text, first line), ``mark`` the least hash of a line and where it stands, ``a`` and ``b``
-    two hashes of all lines.  Lines count from 0; lines without a word are passed over.
+    two hashes of all lines.  Lines count from 0; lines without a word are passed over.  Rows with one id and text are folded
+    before they are moved, so they have the windows of one document.
     """
-    lines = docs.select("_id", "_text", F.posexplode("_lines").alias("line", "t"))
-    count = F.size(F.filter(F.split("t", WORD_GAP), lambda w: w != "")).cast("bigint")
-    lines = lines.select("_id", "_text", "line", F.xxhash64("t").alias("h"), F.xxhash64(F.lit("second"), "t").alias("g"), count.alias("n"))
-    lines = lines.where("n > 0")
+
+    def hashed(t: Column, line: Column) -> Column:
+        count = F.size(F.filter(F.split(t, WORD_GAP), lambda w: w != "")).cast("bigint")
+        return F.struct(line.alias("line"), F.xxhash64(t).alias("h"), F.xxhash64(F.lit("second"), t).alias("g"), count.alias("n"))
+
+    each = docs.select("_id", "_text", F.filter(F.transform("_lines", hashed), lambda x: x["n"] > 0).alias("_lines"))
+    each = each.groupBy("_id", "_text").agg(F.any_value("_lines").alias("_lines"))
+    lines = each.select("_id", "_text", F.inline("_lines"))
     doc = Window.partitionBy("_id", "_text")
     lines = lines.withColumn("_end", F.sum("n").over(doc.orderBy("line"))).withColumn("_start", F.col("_end") - F.col("n"))
     forwards = doc.orderBy("_start").rangeBetween(0, words - 1)

@@ -208,6 +208,24 @@ def test_line_runs(docs, empty):
     assert lines.delete_repeated_runs(empty).count() == 0
 
 
+def test_repeated_rows_are_one_document_to_line_dedup(spark):
+    long, short = prose(41, 60), prose(42, 30)
+    lay = [
+        (1, prose(43, 9) + "\n" + long),  # whole twice, beside a copy of its passage
+        (1, prose(43, 9) + "\n" + long),
+        (2, prose(44, 9) + "\n" + long + "\n" + prose(45, 9)),
+        (3, short + "\n" + prose(46, 70)),  # two that are there twice and share 30 words only
+        (3, short + "\n" + prose(46, 70)),
+        (4, short + "\n" + prose(47, 70)),
+        (4, short + "\n" + prose(47, 70)),
+        (None, long),
+        (None, long),
+    ]
+    out = lines.delete_repeated_runs(spark.createDataFrame(lay, "doc_id bigint, text string")).collect()
+    expected = [t if i in (1, 3, 4) else prose(44, 9) + "\n" + prose(45, 9) if i == 2 else "" for i, t in lay]
+    assert sorted((r["doc_id"] or 9, r["text"]) for r in out) == sorted((i or 9, t) for (i, _), t in zip(lay, expected, strict=True))
+
+
 def test_language(spark, docs, empty):
     a = [(i, "the of and that with this " * (1 + i % 3) + prose(i, 3), "en") for i in range(80)]
     b = [(i + 100, "der die das und nicht ein " * (1 + i % 3) + prose(i, 3), "de") for i in range(80)]
