@@ -113,6 +113,15 @@ def _needed(n, m):
     return f"((3 * ({n} + {m}) + 6) div 7 - (3 * greatest({n}, {m}) + 3) div 4 + 1)"
 
 
+def _least_needed(n, low, high):
+    """The least ``_needed`` of n and any size from low to high, as SQL.
+
+    It grows up to n.  Behind n it falls by 9/28 a size, but for its two roundings, which differ by less than 45/28 in all;
+    so a size needs less than a later one only if that is the next, and then one less.
+    """
+    return f"least({_needed(n, low)}, {_needed(n, high)}, {_needed(n, f'greatest({low}, {high} - 1)')})"
+
+
 def _enough(shared: int, union: int) -> bool:
     return 100 * shared >= PERCENT * union
 
@@ -265,7 +274,7 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     counts = [F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("to_low").alias("low"), F.first("to_high").alias("high")]
     queries = queries.groupBy(F.col("node").alias("a"), F.col("to_label").alias("label"), F.col("to_chunk").alias("chunk")).agg(*counts)
     near = queries.withColumn("low", F.greatest("low", F.expr("(3 * n + 3) div 4"))).withColumn("high", F.least("high", F.expr("(4 * n) div 3")))
-    bound = f"n IS NULL OR (low <= high AND (c >= {_needed('n', 'low')} OR c >= {_needed('n', 'high')}))"
+    bound = f"n IS NULL OR (low <= high AND c >= {_least_needed('n', 'low', 'high')})"
     queries = written(near.where(bound).select("a", F.col("n").alias("na"), "label", "chunk"), "queries")
 
     asked = labels.select("label", "chunk", "node", "n").join(queries.select("label", "chunk").distinct(), ["label", "chunk"], "left_semi")

@@ -254,6 +254,14 @@ def test_jaccard_components(docs, empty):
     assert jaccard.jaccard_components(empty).count() == 0
 
 
+def test_group_bound_holds_for_every_size_in_the_range(spark):
+    sizes = spark.range(1, 121).selectExpr("id AS n", "explode(sequence((3 * id + 3) div 4, (4 * id) div 3)) AS low")
+    ranges = sizes.selectExpr("n", "low", "explode(sequence(low, (4 * n) div 3)) AS high")
+    every = F.array_min(F.expr(f"transform(sequence(low, high), m -> {jaccard._needed('n', 'm')})"))
+    both = ranges.withColumn("bound", F.expr(jaccard._least_needed("n", "low", "high"))).withColumn("least", every)
+    assert both.where("bound != least").isEmpty() and both.where(f"least < least({jaccard._needed('n', 'low')}, {jaccard._needed('n', 'high')})").count() > 677
+
+
 def test_empty_sets_are_linked_with_nothing():
     one, none = np.array([1 << 40, 1 << 41], np.uint64).tobytes(), b""
     columns = {"a": [1, 2, 3], "b": [4, 5, 6], "x": [one, none, none], "y": [one, none, one]}
