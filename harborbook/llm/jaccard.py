@@ -220,12 +220,12 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     named = signatures.where("name IS NOT NULL AND id IS NOT NULL")
     twins = named.groupBy("name").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n"))
     twins = written(twins.where("n > 1").select("name", "node"), "twins")
-    nodes = named.select("id", "name").join(twins, "name", "left").select("id", F.coalesce("node", "id").alias("node"))
+    nodes = named.select("id", "name").join(twins, "name", "left").select("id", "name", F.coalesce("node", "id").alias("node"))
     nodes = written(nodes.distinct(), "nodes")
-    copies = nodes.where("id != node").select("id")
+    copies = nodes.where("id != node").select("id", "name")
 
-    # An id with several texts may be a copy by one of them only; keeping its tokens then is harmless.
-    tokens = named.join(copies, "id", "left_anti").select(F.col("id").alias("node"), F.explode("prefix").alias("token"))
+    # An id with several texts may be a copy by one of them only; it keeps the tokens of the others.
+    tokens = named.join(copies, ["id", "name"], "left_anti").select(F.col("id").alias("node"), F.explode("prefix").alias("token"))
     late = spark.createDataFrame([(int(t),) for t in common.view(np.int64)], "token bigint")
     rare = tokens.join(F.broadcast(late), "token", "left_anti")  # COMMON rows at most
     # One shuffle by token: the ends of a token, and after most tokens are gone, its nodes once each.
@@ -293,7 +293,10 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     sets = sets.select("node", "set", _slot("node")).mapInArrow(lambda b: _in_slots(b, np.unpackbits(used.value).astype(bool)), "node bigint, set binary")
     more = written(_compare(pairs, sets), "links")
 
-    final = components(links.union(more))
+    # An id with several texts links their nodes.
+    several = nodes.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a != most").select("id", "a")
+    own = nodes.join(several.hint("merge"), "id").where("a != node").select("a", F.col("node").alias("b"))
+    final = components(links.union(more).union(own))
     out = nodes.join(final, "node", "left").groupBy("id").agg(F.min(F.coalesce("label", "node")).alias("component"))
     out = out.select(F.col("id").alias("of"), "component")
     return signatures.select("id", "n").join(out, F.col("id") == F.col("of"), "left").select(

@@ -254,6 +254,16 @@ def test_jaccard_components(docs, empty):
     assert jaccard.jaccard_components(empty).count() == 0
 
 
+def test_ids_with_several_texts_link_all_of_them(spark):
+    a, b, c, d = (prose(k, 60) for k in (61, 62, 63, 64))
+    rows = [(3, a), (5, a), (5, b), (9, b + " " + prose(65, 4)), (13, c), (15, c), (15, d), (19, d), (20, prose(66, 50))]
+    rows += [(21, prose(67, 60)), (22, prose(68, 60)), (23, prose(67, 60)), (23, prose(68, 60)), (23, None)]
+    out = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(out) == len(rows)
+    found = {(r["doc_id"], r["component_id"]) for r in out}
+    assert found == {(3, 3), (5, 3), (9, 3), (13, 13), (15, 13), (19, 13), (20, 20), (21, 21), (22, 21), (23, 21)}
+
+
 def test_group_bound_holds_for_every_size_in_the_range(spark):
     sizes = spark.range(1, 121).selectExpr("id AS n", "explode(sequence((3 * id + 3) div 4, (4 * id) div 3)) AS low")
     ranges = sizes.selectExpr("n", "low", "explode(sequence(low, (4 * n) div 3)) AS high")
