@@ -1,5 +1,9 @@
 """The pipeline over the smallest tables, stage by stage."""
 
+import random
+
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from harborbook.llm.queries import table
 
@@ -18,3 +22,31 @@ def test_stages(spark):
     out = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert out.count() == before
     assert out.where("length(ids) != 4 * n_tokens").isEmpty()
+
+
+def prose(seed, count):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choices("abcdefgh", k=rng.randrange(2, 8))) for _ in range(count))
+
+
+def rows_of(df):
+    return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+
+
+def test_one_of_a_group_stays_whatever_its_id(spark):
+    a, b, c, d = (prose(k, 60) for k in (1, 2, 3, 4))
+    given = [(1, a), (1, a), (2, a + " more"), (None, a), (None, b), (None, b), (None, b + " more"), (3, c), (4, c), (4, d), (None, None), (5, "")]
+    docs = spark.createDataFrame(given, "doc_id bigint, text string").withColumn("n_chars", F.length("text"))
+    out = corpus_pipeline.keep_one_of_group(spark, docs, SF)
+    assert out.columns == docs.columns
+    left = rows_of(out)
+    assert [r for r in left if r not in [(None, b), (None, b + " more")]] == sorted([(1, a), (3, c), (4, d), (None, None), (5, "")], key=repr)
+    assert len(left) == 6
+
+
+def test_contaminated_rows_go_whatever_their_id(spark):
+    item = table(spark, SF, "benchmark").where("size(split(text, ' ')) >= 20").first()["text"]
+    bad, good = prose(5, 30) + " " + item + " " + prose(6, 30), prose(7, 60)
+    given = [(1, good), (2, bad), (2, good), (None, bad), (None, good), (None, None)]
+    out = corpus_pipeline.drop_contaminated(spark, spark.createDataFrame(given, "doc_id bigint, text string"), SF)
+    assert rows_of(out) == sorted([(1, good), (2, good), (None, good), (None, None)], key=repr)
