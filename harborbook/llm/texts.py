@@ -80,6 +80,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_PLAIN = np.arange(256) >= 0x80
+_PLAIN[[*b"0123456789", *UPPER.encode(), *LOWER.encode()]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[ord("A") : ord("Z") + 1] += 32
 _CODE = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[_FOLD]
@@ -93,14 +95,9 @@ def powers(base: int, count: int) -> np.ndarray:
     return np.cumprod(out)
 
 
-def word_hashes(body: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first byte, end byte) of each folded word, and the number of words before each text (one more than texts).
-
-    Equal words have equal hashes on every machine, wherever they stand.
-    """
+def _edges(body: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, end byte) of each word."""
     size = len(body)
-    if not size:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(starts), np.int64)
     inside = ~_SPACE[body]
     cut = np.zeros(size + 1, bool)
     cut[starts] = True
@@ -108,11 +105,49 @@ def word_hashes(body: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     begins[1:] &= ~inside[:-1] | cut[1:size]
     ends = inside.copy()
     ends[:-1] &= ~inside[1:] | cut[1:size]
-    first, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
+def _hashed(body: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    size = len(body)
     total = np.zeros(size + 1, np.uint64)
     np.cumsum(_CODE[body] * powers(_BASE, size), out=total[1:])
     back = powers(_INVERSE, size)
-    return _mix((total[end] - total[first]) * back[first]), first, end, np.searchsorted(first, starts)
+    return _mix((total[end] - total[first]) * back[first])
+
+
+def word_hashes(body: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first byte, end byte) of each folded word, and the number of words before each text (one more than texts).
+
+    Equal words have equal hashes on every machine, wherever they stand.
+    """
+    if not len(body):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(starts), np.int64)
+    first, end = _edges(body, starts)
+    return _hashed(body, first, end), first, end, np.searchsorted(first, starts)
+
+
+def bare_word_hashes(body: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each folded word without the signs at its edges, its number among all words, and the numbers of such words
+    and of all words before each text (one more than texts).
+
+    Words of signs alone are passed over.  ASCII but letters and digits, and U+2000 to U+203F (curly quotes, dashes, bullets)
+    are signs.
+    """
+    none = np.zeros(len(starts), np.int64)
+    if not len(body):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), none, none
+    first, end = _edges(body, starts)
+    before = np.searchsorted(first, starts)
+    plain = _PLAIN[body]
+    lead = np.flatnonzero(body[:-2] == 0xE2)
+    lead = lead[body[lead + 1] == 0x80]
+    for k in range(3):
+        plain[lead + k] = False
+    at, upto = np.flatnonzero(plain), np.concatenate([[0], np.cumsum(plain)])
+    number = np.flatnonzero(upto[end] > upto[first])
+    first, end = at[upto[first[number]]], at[upto[end[number]] - 1] + 1
+    return _hashed(body, first, end), number, np.searchsorted(first, starts), before
 
 
 def rolled(values: np.ndarray, size: int) -> np.ndarray:

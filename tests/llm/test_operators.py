@@ -184,6 +184,33 @@ def test_license_notices(docs, empty):
         licenses._Templates({"x": "w " * (licenses.MOST_WORDS + 1)})
 
 
+def test_licenses_in_their_usual_forms(spark):
+    known = licenses.catalogue()
+    header = """
+/*
+ * Copyright 2020 Somebody
+ *
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ */"""
+    given = [
+        (1, header, "Apache-2.0"),
+        (2, "It is released under the MIT License, see there", "MIT"),
+        (3, "# This program is licensed under\n# the “MIT License”.", "MIT"),
+        (4, prose(71, 40), None),
+        *((k + 10, prose(k, 30) + "\n" + text.replace("\n", "\n// ") + "\n" + prose(k + 90, 30), name) for k, (name, texts) in enumerate(sorted(known.items())) for text in texts[-1:]),
+    ]
+    out = licenses.license_notices(spark.createDataFrame([g[:2] for g in given], "doc_id bigint, text string")).collect()
+    found = {(r["doc_id"], r["license"]): r for r in out}
+    assert len(found) == len(out)  # one variant of each
+    assert {i for i, _, name in given if name is not None and (i, name) not in found} == set()
+    assert all(i != 4 for i, _ in found)
+    assert {"Apache-2.0-text", "GPL-3.0-text", "LGPL-2.1-text", "BSD-2-Clause-text", "MPL-2.0-text", "MIT-text"} <= {name for _, name in found}
+    assert [found[1, "Apache-2.0"][c] for c in ("first_word", "end_word")] == [7, 14]  # words of the text, signs too
+    disclaimer = known["MIT-text"][-1]
+    assert found[10 + sorted(known).index("MIT-text"), "MIT-text"]["containment"] == 1 and "NONINFRINGEMENT" in disclaimer
+
+
 def test_quality(spark, docs, empty):
     good = [(i, prose(i, 40) + ".", 1) for i in range(300)]
     bad = [(i + 300, " ".join(w + "###" for w in prose(i, 40).split()), 0) for i in range(300)]
