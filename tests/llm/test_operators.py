@@ -184,6 +184,22 @@ def test_license_notices(docs, empty):
         licenses._Templates({"x": "w " * (licenses.MOST_WORDS + 1)})
 
 
+def test_groups_that_fit_stay_whole(spark):
+    sizes = {"a": 300, "b": 95, "c": 60, "d": 40, "e": 30, "f": 100, "g": 26}  # shards of 100
+    lay = [t for t, n in sizes.items() for _ in range(n)]
+    lay += [f"{t} alone" for t in range(800 - len(lay))]
+    docs = spark.createDataFrame(list(enumerate(lay)), "doc_id bigint, text string")
+    out = shards.balanced_shards(docs, 8).collect()
+    assert len(out) == 800 and {(r["shard"], r["slot"]) for r in out} == {(k, i) for k in range(8) for i in range(100)}
+    where = {}
+    for r in out:
+        where.setdefault(lay[r["doc_id"]], set()).add(r["shard"])
+    assert {t: len(where[t]) for t in sizes} == {t: 3 if t == "a" else 1 for t in sizes}
+    room = [10, 10, 10]
+    assert shards._laid_out([(b"x", 6), (b"y", 6), (b"z", 6), (b"v", 12)], room) == [(b"v", [0, 1], [10, 12]), (b"x", [1], [6]), (b"y", [2], [6]), (b"z", [2, 1], [4, 6])]
+    assert room == [0, 0, 0]
+
+
 def test_licenses_in_their_usual_forms(spark):
     known = licenses.catalogue()
     header = """
