@@ -44,7 +44,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = sketches.with_next(docs.withColumn("fp", sketches.sketch(F.col("text"))), "doc_id", "text", ["text", "fp"], "next")
+    docs = sketches.with_next(docs, "doc_id", "text", ["text", "fp"], "next", behind={"fp": sketches.sketch(F.col("text"))})
     n, moved = F.length("text"), F.floor(F.length("text") / 3).cast("int")
     edited = F.concat(F.col("text").substr(F.lit(1), n - moved), F.col("next.text").substr(F.lit(1), moved))
     docs = docs.select("doc_id", "fp", F.col("next.fp").alias("next_fp"), n.cast("bigint").alias("n_chars"), edited.alias("edited"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from harborbook.llm.texts import bound, shingle_hashes, word_array
 
-SIZE, WORDS = 192, 5
+SIZE, WORDS = 256, 5
 
 #: Rows of an order that one task handles together, and steps of equal numbers of ids it is cut into at most.
 BLOCK, CUTS = 4_000, 1_024
@@ -64,16 +64,18 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lpad(F.hex(h), 16, "0")), "")
 
 
-def with_next(rows: DataFrame, order: str, ties: str, columns: list[str], into: str) -> DataFrame:
+def with_next(rows: DataFrame, order: str, ties: str, columns: list[str], into: str, behind: dict[str, Column] | None = None) -> DataFrame:
     """``rows`` with a struct of ``columns`` of the next row in descending order, of the first after the last.
 
     The order is cut at quantiles of ``order``, and these blocks, with the first row of the following block behind each,
     are laid out over the tasks in one shuffle.  ``order`` is an integer; nulls come last, equal values are ordered by
-    ``ties``.
+    ``ties``.  The columns ``behind`` are computed behind this shuffle, so they are not moved; ``columns`` may name them.
     """
+    behind = behind or {}
     at = F.coalesce(F.col(order).cast("bigint"), F.lit(-(2**63)))
     count = rows.count()
     if not count:
+        rows = rows.withColumns(behind)
         kinds = ", ".join(f"{c}: {rows.schema[c].dataType.simpleString()}" for c in columns)
         return rows.withColumn(into, F.lit(None).cast(f"struct<{kinds}>".replace(": ", ":")))
     cells = max(1, min(CUTS, -(-count // BLOCK)))
@@ -98,6 +100,9 @@ def with_next(rows: DataFrame, order: str, ties: str, columns: list[str], into:
     own = F.struct(F.col("_block").alias("block"), F.lit(False).alias("copy"))
     copy = F.struct(F.col("_before").alias("block"), F.lit(True).alias("copy"))
     spread = spread.withColumn("_place", F.explode(F.when(F.col("_before").isNull(), F.array(own)).otherwise(F.array(own, copy))))
-    window = Window.partitionBy(F.col("_place")["block"]).orderBy(F.col("_place")["copy"], F.desc("_at"), ties)
-    out = spread.withColumn(into, F.lead(F.struct(*columns)).over(window)).where(~F.col("_place")["copy"])
-    return out.select(*rows.columns, into)
+    # The block by a column of its own: dealt out by it, the rows lie as the window wants them.
+    spread = spread.select(*rows.columns, "_at", F.col("_place")["block"].alias("_to"), F.col("_place")["copy"].alias("_copy"))
+    spread = spread.repartition("_to").withColumns(behind)
+    window = Window.partitionBy("_to").orderBy("_copy", F.desc("_at"), ties)
+    out = spread.withColumn(into, F.lead(F.struct(*columns)).over(window)).where(~F.col("_copy"))
+    return out.select(*rows.columns, *behind, into)

@@ -111,6 +111,20 @@ def test_next_row_in_order(spark, monkeypatch):
     assert {r["doc_id"]: r["next"]["text"] for r in out} == after
 
 
+def test_fingerprints_keep_256_hashes_and_move_texts_only(spark, monkeypatch):
+    monkeypatch.setattr(sketches, "BLOCK", 3)
+    rows = [(i, prose(i, 240)) for i in range(20)]
+    given = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = sketches.with_next(given, "doc_id", "text", ["fp"], "next", behind={"fp": sketches.sketch(F.col("text"))})
+    found = {r["doc_id"]: r for r in out.select("*", sketches.distinct_shingles(F.col("fp")).alias("n")).collect()}
+    assert all(found[i]["n"] == len(shingles(t)) > 192 for i, t in rows)  # exact
+    assert all(found[i]["next"]["fp"] == found[(i - 1) % 20]["fp"] for i in found)
+    moved = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array" in moved and "sort_array" not in moved[moved.index("RepartitionByExpression") :]
+    executed = out._jdf.queryExecution().executedPlan().toString()
+    assert executed.count("hashpartitioning(_to") == 1
+
+
 def test_suffix_dedup(docs, empty):
     out = by_id(suffixes.remove_repeats(docs))
     seen = set()
