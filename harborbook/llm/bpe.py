@@ -269,6 +269,8 @@ def class_starts(whole: str, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     run stay together, and some endings after an apostrophe stand alone."""
     code = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
     size = len(code)
+    if not size:
+        return np.zeros(0, np.int64), np.zeros(len(bounds), np.int64)
     edge = np.zeros(size + 4, bool)  # where a text starts or ends
     edge[bounds] = True
     kind = np.full(size + 4, 255, np.uint8)

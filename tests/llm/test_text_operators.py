@@ -79,6 +79,9 @@ def test_bpe_equals_tiktoken_and_round_trips(docs, empty):
         assert row["n_tokens"] * 4 == len(row["ids"])
         assert bytes(row["decoded"]) == (row["text"] or "").encode()
     assert bpe.encode(empty, tokens, pattern).count() == 0
+    # Partitions of empty texts alone.
+    blank = bpe.decode(bpe.encode(docs.where("text IS NULL OR text = ''").repartition(4), tokens, pattern), tokens, pattern)
+    assert [(r["n_tokens"], bytes(r["decoded"])) for r in blank.collect()] == [(0, b"")] * 3
 
 
 def test_word_starts_follow_the_pattern():
