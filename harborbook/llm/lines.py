@@ -95,6 +95,15 @@ def delete_repeated_runs(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     by a hash of these, rows that are equal in both are one document.  A text without such a run stays as it is, null
     too; one of nothing else becomes empty.  Columns named ``n_runs`` or ``n_deleted`` are replaced.
     """
+    # The columns of the user get names that nothing here has.
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    named = dict(zip(docs.columns, names, strict=True))
+    out = _delete_runs(docs.toDF(*names), named[doc_id], named[text], words)
+    kept = [F.col(n).alias(c) for c, n in named.items() if c not in ("n_runs", "n_deleted")]
+    return out.select(*kept, "n_runs", "n_deleted")
+
+
+def _delete_runs(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
     runs = repeated_runs(docs, doc_id=doc_id, text=text, words=words)
     runs = runs.groupBy("_id", "_text").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("_runs"))
     runs = written(runs.select(F.col("_id").alias("_of"), F.col("_text").alias("_of_text"), "_runs"), "runs")
@@ -112,5 +121,5 @@ def delete_repeated_runs(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     kept = bound(_lines(F.col(text)), lambda x: F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), number), lambda k: between(x, k))), "\n"))
     gone = F.aggregate("_runs", F.lit(0), lambda n, r: n + r["last"] - r["first"] + 1)
     some = F.col("_runs").isNotNull()
-    own = [F.when(some, kept).otherwise(F.col(c)).alias(c) if c == text else F.col(c) for c in docs.columns if c not in ("n_runs", "n_deleted")]
+    own = [F.when(some, kept).otherwise(F.col(c)).alias(c) if c == text else F.col(c) for c in docs.columns]
     return joined.select(*own, F.when(some, number).otherwise(0).alias("n_runs"), F.when(some, gone).otherwise(0).alias("n_deleted"))
