@@ -4,7 +4,7 @@ Inside a task the distinct words of a batch become rows (word, position, token)
 recursive query joins neighbours with the merge table and contracts, word by word, the leftmost pair of least rank until
 no pair is left.  In long words it also contracts the pairs of that rank further right that do not overlap: no merge makes
 a pair of lower rank (``Merges`` checks this of a vocabulary), so they would be next anyway.  Decoding joins token rows
-with the vocabulary and puts their bytes together in the order of their positions.
+with the vocabulary and aggregates the bytes of each text in the order of their positions.
 
 The vocabulary is the only thing that is broadcast; its size is fixed.
 """
@@ -28,6 +28,8 @@ from harborbook.llm.texts import powers, text_buffer
 #: Token rows that one recursive query starts from, its steps for long words before its last state is taken up by a new
 #: one, characters or tokens that are worked on together, words whose ids are remembered, and bytes of a short word.
 ROWS, STEPS, TOGETHER, REMEMBERED, SHORT = 100_000, 24, 1 << 19, 250_000, 64
+#: Characters after which a long text is cut at the next space between words.
+PART = 1 << 19
 
 
 @dataclass
@@ -125,14 +127,17 @@ WITH RECURSIVE state(word, pos, tok, step) AS (
 SELECT word, pos, tok, step FROM state
 """
 
-DECODE = "SELECT v.piece FROM ids t JOIN vocabulary v ON v.tok = t.tok ORDER BY t.pos"
+DECODE = """
+SELECT t.text, list(v.piece ORDER BY t.pos) AS pieces
+FROM ids t JOIN vocabulary v ON v.tok = t.tok GROUP BY t.text ORDER BY t.text
+"""
 
 
 class Engine:
     """The tables of one task, and the ids of words seen before."""
 
     def __init__(self, merges: Merges, pattern: str):
-        self.merges, self.split = merges, splitter(pattern)
+        self.merges, self.split, self.by_class = merges, splitter(pattern), pattern == CLASS_PATTERN
         self.known: dict[str, bytes] = {}
         self.byte = np.zeros(256, np.int32)
         for i, t in enumerate(merges.tokens):
@@ -202,13 +207,19 @@ class Engine:
         out = flat[np.repeat(place - total[:-1], counts) + np.arange(total[-1])]
         return out, np.diff(total[before])
 
-    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes of the ids end to end, and how many each id stands for; none for an id that the vocabulary lacks."""
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of texts of ``counts`` ids each end to end, and how many each has; none for an id that the vocabulary lacks."""
+        text = np.repeat(np.arange(len(counts)), counts)
         tok = np.minimum(ids.astype(np.int64), len(self.lengths) - 1)
-        self._table("ids", pos=np.arange(len(tok)), tok=tok)
-        pieces = self.sql.sql(DECODE).to_arrow_table().column("piece").combine_chunks()
-        body = text_buffer(pieces.cast(pa.large_binary()))[0] if len(pieces) else np.zeros(0, np.uint8)
-        return body, self.lengths[tok]
+        bodies = [np.zeros(0, np.uint8)]
+        for k in range(0, len(tok), TOGETHER):  # also within a long text
+            part = slice(k, k + TOGETHER)
+            self._table("ids", text=text[part], pos=np.arange(len(tok[part])), tok=tok[part])
+            pieces = self.sql.sql(DECODE).to_arrow_table().column("pieces").combine_chunks()
+            lists = pieces.chunk(0) if isinstance(pieces, pa.ChunkedArray) and pieces.num_chunks else pieces
+            if len(lists):
+                bodies.append(text_buffer(lists.flatten().cast(pa.large_binary()))[0])
+        return np.concatenate(bodies), np.bincount(text, self.lengths[tok], len(counts)).astype(np.int64)
 
 
 def distinct_words(whole: str, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -248,6 +259,18 @@ def splitter(pattern: str):
     return starts
 
 
+_SAFE = regex.compile(r"(?<=\S) (?=\S)")
+
+
+def parts(text: str) -> Iterator[str]:
+    """A long text in parts that have the words of the whole: a single space between others starts a word in any case."""
+    start = 0
+    while len(text) - start > PART and (found := _SAFE.search(text, start + PART)):
+        yield text[start : found.start()]
+        start = found.start()
+    yield text[start:] if start else text
+
+
 #: Fixed value: the pattern that ``class_starts`` follows.
 CLASS_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _OTHER, _LETTER, _NUMBER, _BLANK = range(4)
@@ -375,8 +398,22 @@ def decode(docs: DataFrame, tokens: list[bytes], pattern: str, *, ids: str = "id
         body, starts = text_buffer(column.fill_null(b"").cast(pa.large_binary()))
         for a, b in _portions((np.diff(starts) // 4).tolist(), TOGETHER):
             part = body[starts[a] : starts[b]].tobytes()
-            out, lengths = engine.decode(np.frombuffer(part, "<u4"))
-            total = np.concatenate([[0], np.cumsum(lengths)])
-            yield a, b, [_binary(out, np.diff(total[(starts[a : b + 1] - starts[a]) // 4]))]
+            out, lengths = engine.decode(np.frombuffer(part, "<u4"), np.diff(starts[a : b + 1]) // 4)
+            yield a, b, [_binary(out, lengths)]
 
     return _mapped(docs, ids, {"decoded": "binary"}, work)
+
+
+def round_trip(docs: DataFrame, tokens: list[bytes], pattern: str, *, text: str = "text") -> DataFrame:
+    """``docs`` with the columns of ``encode`` and ``decode``, by one engine in each task."""
+    shared, name = _shared(docs, tokens, pattern)
+
+    def work(texts: pa.Array):
+        engine = _engine(shared, name, pattern)
+        values = [t or "" for t in texts.to_pylist()]
+        for a, b in _portions([len(t) for t in values], TOGETHER):
+            ids, counts = engine.encode(values[a:b])
+            out, lengths = engine.decode(ids, counts)
+            yield a, b, [_binary(ids, 4 * counts), pa.array(counts, pa.int64()), _binary(out, lengths)]
+
+    return _mapped(docs, text, {"ids": "binary", "n_tokens": "bigint", "decoded": "binary"}, work)

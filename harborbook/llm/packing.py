@@ -16,54 +16,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from harborbook.llm.bpe import parts, splitter
 from harborbook.llm.tables import shared_folder
 
 CAPACITY = 1024
-#: Left-over ids that a task of a later round takes on average (eight times what a task may leave, if that is more), words whose ids are remembered, characters of such a word,
-#: and bytes of ids in a batch that a task hands on.
-MERGED, REMEMBERED, SHORT, BATCH_BYTES = 1 << 21, 200_000, 64, 1 << 23
-#: Characters of a long text that are split into words at once, up to the next place where a word starts in any case.
-AT_ONCE = 1 << 20
-_SAFE = regex.compile(r"(?<=\S) (?=\S)")
+#: Left-over ids that a task of a later round takes on average (eight times what a task may leave, if that is more), words
+#: whose ids are remembered, characters of such a word, and bytes of ids in a batch that a task hands on.
+MERGED, REMEMBERED, SHORT, BATCH_BYTES = 1 << 21, 400_000, 64, 1 << 23
+#: Characters of texts whose words are told apart together, and documents taken up at once.
+TOGETHER, DOCS = 1 << 20, 256
 #: Fixed value: the pattern of words of the byte-level pre-tokenizer.
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-
-class Words(dict):
-    """Ids (little-endian unsigned 32-bit) of each word, by the tokenizer; short words are remembered."""
-
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
-
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= SHORT:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = ids
-        return ids
-
-
-def parts(text: str) -> Iterator[str]:
-    """A long text in parts that have the words of the whole."""
-    start = 0
-    while len(text) - start > AT_ONCE and (found := _SAFE.search(text, start + AT_ONCE)):
-        yield text[start : found.start()]
-        start = found.start()
-    yield text[start:] if start else text
+#: Fixed value: printable bytes stand for themselves, the others follow behind 255.
+PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTES = {b: b for b in PRINTABLE} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
 
 
 class Encoder:
-    """Ids of whole texts by the file of a tokenizer.
+    """Ids (little-endian unsigned 32-bit) of whole texts by the file of a tokenizer.
 
-    A byte-level tokenizer encodes each word by itself, so words that come again need not be encoded again.  Texts with an
-    added token in them, and texts for other tokenizers, are encoded as they are.
+    A byte-level tokenizer encodes each word by itself, so the words of many texts are told apart first, and each is encoded
+    once while it is remembered.  Texts with an added token in them, and texts for other tokenizers, are encoded as they are.
     """
 
     def __init__(self, content: str):
@@ -75,14 +53,53 @@ class Encoder:
         plain = first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space")
         self.by_word = bool(plain and not made.get("normalizer") and not made.get("truncation") and not made.get("post_processor"))
         self.added = [t["content"] for t in made.get("added_tokens", [])]
-        self.split, self.words = regex.compile(BYTE_LEVEL).findall, Words(self.tokenizer)
+        self.starts, self.known, self.model = splitter(BYTE_LEVEL), {}, self.tokenizer.model
 
-    def __call__(self, text: str) -> bytes:
-        if self.by_word and not any(t in text for t in self.added):
-            words = self.words
-            return b"".join([b"".join([words[w] for w in self.split(part)]) for part in parts(text)])
+    def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _learn(self, word: str) -> None:
+        # What the pre-tokenizer makes of one word: a character for each byte.
+        self.known[word] = np.array([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(BYTES))], "<u4").tobytes()
+
+    def _texts(self, texts: list[str]) -> list[bytes]:
+        whole = "".join(texts)
+        starts, before = self.starts(whole, np.cumsum([0, *map(len, texts)]))
+        starts, before = [*starts.tolist(), len(whole)], before.tolist()
+        words = [whole[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
+        known = self.known
+        new = [w for w in set(words) if w not in known]
+        for word in new:
+            self._learn(word)
+        ids = [known[w] for w in words]  # before any is forgotten
+        room = REMEMBERED - len(known) + len(new)
+        for w in [w for w in new if len(w) > SHORT] + [w for w in new if len(w) <= SHORT][max(0, room) :]:
+            del known[w]
+        return [b"".join(ids[a:b]) for a, b in zip(before[:-1], before[1:], strict=True)]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        out = [[] if self.by_word and not any(a in t for a in self.added) else [self._whole(t)] for t in texts]
+        units = [(i, part) for i, t in enumerate(texts) if not out[i] for part in parts(t)]
+        first, held = 0, 0
+        for k, (_, part) in enumerate(units):
+            held += len(part)
+            if held >= TOGETHER or k == len(units) - 1:
+                for (i, _), ids in zip(units[first : k + 1], self._texts([u for _, u in units[first : k + 1]]), strict=True):
+                    out[i].append(ids)
+                first, held = k + 1, 0
+        return [b"".join(x) for x in out]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def _encoder(content: str) -> Encoder:
+    """One per Python worker and tokenizer."""
+    if content not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[content] = Encoder(content)
+    return _ENCODERS[content]
+
 
 def slots(capacity: int, spare: int = 0) -> dict[int, int]:
     """Slot -> pieces of a sequence, for the classes whose sequences have at most ``spare`` ids beyond their slots; each slot
@@ -169,17 +186,20 @@ def _first_id(turn: int) -> int:
 
 def _cut(batches: Iterator[pa.RecordBatch], content: str, end: int, classes: dict[int, int]) -> Iterator[pa.RecordBatch]:
     """First round: documents to pieces and to the sequences that this task fills."""
-    encode, sizes, last, out = Encoder(content), list(classes), np.array([end], "<u4").tobytes(), None
+    encode, sizes, last, out = _encoder(content), list(classes), np.array([end], "<u4").tobytes(), None
     for batch in batches:
         out = out or Sequences(classes, _first_id(0), batch.column("doc").type)
-        for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text"), strict=True):
-            ids = encode(text.as_py() or "") + last
-            start, total = 0, len(ids) // 4
-            for size in cuts(total, sizes):
-                out.add((doc, start, ids[4 * start : 4 * (start + size)], total))
-                start += size
-                if out.bytes >= BATCH_BYTES:
-                    yield out.batch()
+        for k in range(0, len(batch), DOCS):
+            part = batch.slice(k, DOCS)
+            encoded = encode([t or "" for t in part.column("text").to_pylist()])
+            for doc, ids in zip(part.column("doc").to_pylist(), encoded, strict=True):
+                ids += last
+                start, total = 0, len(ids) // 4
+                for size in cuts(total, sizes):
+                    out.add((doc, start, ids[4 * start : 4 * (start + size)], total))
+                    start += size
+                    if out.bytes >= BATCH_BYTES:
+                        yield out.batch()
     if out:
         out.leave()
         yield out.batch()

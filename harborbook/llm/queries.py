@@ -25,8 +25,7 @@ def vocabulary() -> tuple[list[bytes], str]:
 
 def op1_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens, pattern = vocabulary()
-    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokens, pattern).drop("text")
-    back = bpe.decode(ids, tokens, pattern)
+    back = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), tokens, pattern)
     return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
