@@ -199,6 +199,20 @@ def _wanted_sets(base: DataFrame, wanted: DataFrame) -> DataFrame:
     return slotted.mapInArrow(lambda b: _sets(b, np.unpackbits(used.value).astype(bool)), "node bigint, set binary")
 
 
+def only_wanted(df: DataFrame, key: str, wanted: DataFrame, *, others: bool = False) -> DataFrame:
+    """The rows of ``df`` whose ``key`` is in the one column of ``wanted``, and few more, by a filter of fixed size; with
+    ``others`` the rest."""
+    used = _used_slots(wanted.toDF("node"))
+    slotted = df.withColumn("slot", F.pmod(F.xxhash64(key), F.lit(BITS)))
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(used.value).astype(bool) != others
+        for batch in batches:
+            yield batch.filter(pa.array(bits[batch.column("slot").to_numpy()])).drop_columns(["slot"])
+
+    return slotted.mapInArrow(some, df.schema)
+
+
 def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row.
 

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from harborbook.llm import negatives, packing, queries, ranking
+from harborbook.llm import bpe, negatives, packing, queries, ranking
 
 SF = "/root/testdata/sf0.001"
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -133,16 +133,19 @@ def check_pieces(pieces, wanted, capacity):
 
 
 def test_encoder_gives_the_ids_of_the_library(monkeypatch):
-    monkeypatch.setattr(packing, "AT_ONCE", 50)
+    monkeypatch.setattr(bpe, "PART", 50)
     rng = random.Random(3)
     texts = ["".join(rng.choices("  \n\t'stmdrevlaAé1٣!?.\x1c\x85　🙂½ ab", k=rng.randrange(400))) for _ in range(300)]
     texts += ["a <|endoftext|> b", "", "x" * 5000, " \n " * 500, "don't " * 400, "日本語" * 300]
     with open(TOKENIZER, encoding="utf-8") as f:
         encode = packing.Encoder(f.read())
     assert encode.by_word
-    for text, want in zip(texts, ids_of(texts), strict=True):
-        assert np.frombuffer(encode(text), "<u4").tolist() == want[:-1]
-        assert "".join(packing.parts(text)) == text
+    monkeypatch.setattr(packing, "TOGETHER", 700)
+    monkeypatch.setattr(packing, "REMEMBERED", 30)
+    for text, ids, want in zip(texts, encode(texts), ids_of(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == want[:-1]
+        assert "".join(bpe.parts(text)) == text
+    assert len(encode.known) <= 30
 
 
 def test_packing_on_odd_texts(spark, monkeypatch):

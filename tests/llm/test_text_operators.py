@@ -11,8 +11,9 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from harborbook.llm import bpe, contamination, jaccard, language, licenses, lines, quality, shards, sketches, suffixes
+from harborbook.llm import bpe, contamination, jaccard, language, licenses, lines, quality, queries, shards, sketches, suffixes
 
+SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -68,7 +69,7 @@ def by_id(df):
     return {r["doc_id"]: r for r in df.collect() if r["doc_id"] is not None}
 
 
-def test_bpe_equals_tiktoken_and_round_trips(docs, empty):
+def test_bpe_equals_tiktoken_and_round_trips(docs, empty, monkeypatch):
     tokens, pattern = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
     known = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
     out = bpe.decode(bpe.encode(docs, tokens, pattern), tokens, pattern)
@@ -78,7 +79,21 @@ def test_bpe_equals_tiktoken_and_round_trips(docs, empty):
         assert np.frombuffer(row["ids"], "<u4").tolist() == known.encode_ordinary(row["text"] or "")
         assert row["n_tokens"] * 4 == len(row["ids"])
         assert bytes(row["decoded"]) == (row["text"] or "").encode()
-    assert bpe.encode(empty, tokens, pattern).count() == 0
+    both = bpe.round_trip(docs, tokens, pattern)
+    assert both.columns == out.columns
+    assert sorted(map(tuple, both.collect()), key=repr) == sorted(map(tuple, rows), key=repr)
+    assert bpe.encode(empty, tokens, pattern).count() == 0 == bpe.round_trip(empty, tokens, pattern).count()
+    # Long texts are worked on in parts.
+    engine = bpe.Engine(bpe.Merges(tokens), pattern)
+    for size in (1, 40, 700):
+        monkeypatch.setattr(bpe, "PART", size)
+        monkeypatch.setattr(bpe, "TOGETHER", 2 * size)
+        texts = [r["text"] or "" for r in rows]
+        ids, counts = engine.encode(texts)
+        ends = np.cumsum(counts)[:-1]
+        assert [x.tolist() for x in np.split(ids, ends)] == [known.encode_ordinary(t) for t in texts]
+        body, lengths = engine.decode(ids, counts)
+        assert [x.tobytes() for x in np.split(body, np.cumsum(lengths)[:-1])] == [t.encode() for t in texts]
     # Partitions of empty texts alone.
     blank = bpe.decode(bpe.encode(docs.where("text IS NULL OR text = ''").repartition(4), tokens, pattern), tokens, pattern)
     assert [(r["n_tokens"], bytes(r["decoded"])) for r in blank.collect()] == [(0, b"")] * 3
@@ -163,11 +178,51 @@ def test_contamination_with_replaced_words(spark, docs, empty):
     changed = [w if k % 6 else "zzz" for k, w in enumerate(item)]
     bench = spark.createDataFrame([(1, " ".join(changed)), (2, prose(77, 40)), (3, None), (4, ""), (5, "one two")], "item_id bigint, text string")
     found = {(r["doc_id"], r["item_id"]) for r in contamination.contaminated(docs, bench).collect()}
-    assert found == {(4, 1), (5, 1)}
+    assert found == {(4, 1), (5, 1), (10, 5), (11, 5)}
     assert contamination.contaminated(empty, bench).count() == 0
     assert contamination.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def passages(docs, items):
+    """(document, item) pairs that share a passage, by comparing all alignments."""
+    number = {}
+    coded = [(i, np.array([number.setdefault(w, len(number)) for w in words(t)])) for i, t in docs]
+    out = set()
+    for item, text in items:
+        b = np.array([number.setdefault(w, len(number)) for w in words(text)])
+        if not len(b):
+            continue
+        size = min(20, len(b))
+        least = size if len(b) < 8 else -(-size * 4 // 5)
+        for doc, a in coded:
+            padded = np.concatenate([np.full(len(b), -1), a, np.full(len(b), -1)])
+            beside = np.lib.stride_tricks.sliding_window_view(padded, len(b))
+            same, inside = (np.cumsum(np.pad(x, ((0, 0), (1, 0))), axis=1) for x in (beside == b, beside >= 0))
+            full = (inside[:, size:] - inside[:, :-size]) == size
+            if (full & (same[:, size:] - same[:, :-size] >= least)).any():
+                out.add((doc, item))
+    return out
+
+
+def test_items_without_id_or_of_few_words_are_found(spark):
+    a, b = prose(90, 30), prose(91, 12)
+    given = [(1, prose(92, 50) + " " + a + " " + prose(93, 9)), (2, b), (None, "x " + b), (4, "yes it is so"), (5, "yes it was so"), (6, "no")]
+    items = [(None, a), (None, b), (7, "Yes it is"), (7, "no"), (8, "never"), (9, a + " " + prose(94, 3))]
+    found = contamination.contaminated(spark.createDataFrame(given, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string"))
+    got = sorted(((r["doc_id"], r["item_id"]) for r in found.collect()), key=repr)
+    assert got == sorted(passages(given, items), key=repr)
+    assert {(1, None), (2, None), (None, None), (4, 7), (6, 7), (1, 9)} == set(got)
+    named = spark.createDataFrame([("n1", given[0][1])], "doc_id string, text string")
+    assert [r["doc_id"] for r in contamination.contaminated(named, spark.createDataFrame([("i", a)], "item_id string, text string")).collect()] == ["n1"]
+
+
+def test_op4_equals_all_alignments(spark):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    found = {(r["doc_id"], r["item_id"]) for r in queries.op4_benchmark_decontamination(spark, SF).collect()}
+    assert found == passages(docs, items) and found
+
+
 def test_masks_miss_no_allowed_replacement():
     from itertools import combinations
 
