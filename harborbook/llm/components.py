@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harborbook.llm.tables import written
+from harborbook.llm.tables import drop, written
 
 
 def _through(edges: DataFrame, parents: DataFrame) -> DataFrame:
@@ -30,13 +30,18 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("parent"))
         parents = written(low.select("node", F.least("node", "parent").alias("parent")), "parents")
+        was = parents
         while True:
             above = parents.select(F.col("node").alias("parent"), F.col("parent").alias("top"))
             jumped = written(parents.join(above, "parent", "left").select("node", F.coalesce("top", "parent").alias("parent"), F.col("parent").alias("was")), "parents")
-            parents = jumped.select("node", "parent")
+            drop(was)
+            parents, was = jumped.select("node", "parent"), jumped
             if jumped.where("parent != was").isEmpty():
                 break
         moved = parents.select(F.col("node").alias("label"), F.col("parent").alias("top"))
-        labels = written(labels.join(moved, "label", "left").select("node", F.coalesce("top", "label").alias("label")), "labels")
-        edges = written(_through(edges, parents), "links")
+        moved_labels = written(labels.join(moved, "label", "left").select("node", F.coalesce("top", "label").alias("label")), "labels")
+        moved_edges = written(_through(edges, parents), "links")
+        drop(labels, edges, was)
+        labels, edges = moved_labels, moved_edges
+    drop(edges)
     return labels

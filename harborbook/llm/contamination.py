@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harborbook.llm.tables import written
+from harborbook.llm.tables import drop, written
 from harborbook.llm.texts import rolled, steps, word_hashes
 
 MASKS = ("101111", "1110011", "11001011")
@@ -163,6 +163,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id
     found = pairs.join(known, "item").select("id", "item", "start", "words", "item_words", "shift")
     found = found.mapInArrow(_verify, f"id {kind}, item {item}, equal bigint, first bigint, end bigint").withColumn("item", F.col("item.item"))
     best = found.groupBy("id", "item").agg(F.max(F.struct("equal", (-F.col("first")).alias("f"), "end")).alias("b"))
+    best = written(best, "passages")
+    drop(items, seeds, segments)
     return best.select(
         F.col("id").alias("doc_id"),
         F.col("item").alias("item_id"),

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harborbook.llm.components import components
-from harborbook.llm.tables import written
+from harborbook.llm.tables import drop, written
 from harborbook.llm.texts import shingle_sets, steps, word_hashes
 
 WORDS, PERCENT, GROUP = 5, 75, 48
@@ -236,6 +236,7 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     twins = written(twins.where("n > 1").select("name", "node"), "twins")
     nodes = named.select("id", "name").join(twins, "name", "left").select("id", "name", F.coalesce("node", "id").alias("node"))
     nodes = written(nodes.distinct(), "nodes")
+    drop(twins)
     copies = nodes.where("id != node").select("id", "name")
 
     # An id with several texts may be a copy by one of them only; it keeps the tokens of the others.
@@ -265,6 +266,7 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     sets = written(_wanted_sets(base, pairs.select(F.explode(F.array("a", "b")).alias("node"))), "sets")
     links = written(_compare(pairs, sets), "links")
+    drop(pairs, sets)
     settled = components(links)
 
     labels = shared.join(settled, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -274,11 +276,14 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / GROUP))
     labels = written(labels.select("node", "n", "label", "size", chunk.alias("chunk")), "nodes")
     groups = labels.groupBy("label", "chunk").agg(F.min(F.coalesce("n", F.lit(0))).alias("low"), F.max(F.coalesce("n", F.lit(LAST))).alias("high"))
-    labels = written(labels.join(groups, ["label", "chunk"]), "groups")
+    chunked, labels = labels, written(labels.join(groups, ["label", "chunk"]), "groups")
+    drop(shared, counts, settled, chunked)
 
     marked = postings.select("token", "node").join(labels.hint("merge"), "node")
     apart = marked.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("token")
-    marked = written(marked.join(written(apart, "tokens").hint("merge"), "token", "left_semi"), "marked")
+    apart = written(apart, "tokens")
+    marked = written(marked.join(apart.hint("merge"), "token", "left_semi"), "marked")
+    drop(apart, postings)
     to = [F.col(c).alias(f"to_{c}") for c in ("label", "size", "chunk", "low", "high")]
     matrix = written(marked.select("token", *to).distinct(), "matrix")
     queries = marked.select("token", "node", "n", "label", "size").join(matrix.hint("merge"), "token")
@@ -291,6 +296,7 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     bound = f"n IS NULL OR (low <= high AND c >= {_least_needed('n', 'low', 'high')})"
     queries = written(near.where(bound).select("a", F.col("n").alias("na"), "label", "chunk"), "queries")
 
+    drop(marked, matrix)
     asked = labels.select("label", "chunk", "node", "n").join(queries.select("label", "chunk").distinct(), ["label", "chunk"], "left_semi")
     asked = written(asked, "asked")
     sets = written(_wanted_sets(base, asked.select("node").union(queries.select("a"))), "sets")
@@ -298,19 +304,20 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     unions = asked.hint("merge").join(halves, "node").select("label", "chunk", "half").groupBy("label", "chunk").applyInArrow(_union, "label bigint, chunk bigint, union binary")
     asking = queries.hint("merge").join(halves.select(F.col("node").alias("a"), F.col("half").alias("x")), "a")
     opened = written(asking.join(unions.hint("merge"), ["label", "chunk"]).mapInArrow(_open, "a bigint, label bigint, chunk bigint"), "opened")
-    opened = opened.join(queries, ["a", "label", "chunk"])
-    pairs = opened.join(asked.select("label", "chunk", F.col("node").alias("b"), F.col("n").alias("nb")), ["label", "chunk"])
+    pairs = opened.join(queries, ["a", "label", "chunk"]).join(asked.select("label", "chunk", F.col("node").alias("b"), F.col("n").alias("nb")), ["label", "chunk"])
     pairs = pairs.where("na IS NULL OR nb IS NULL OR 4 * least(na, nb) >= 3 * greatest(na, nb)")
     pairs = written(pairs.select("a", "b"), "pairs")
     # Of the sets, only those of pairs are moved; a filter of fixed size finds most others where they lie.
     used = _used_slots(pairs.select(F.explode(F.array("a", "b")).alias("node")))
-    sets = sets.select("node", "set", _slot("node")).mapInArrow(lambda b: _in_slots(b, np.unpackbits(used.value).astype(bool)), "node bigint, set binary")
+    wanted, sets = sets, sets.select("node", "set", _slot("node")).mapInArrow(lambda b: _in_slots(b, np.unpackbits(used.value).astype(bool)), "node bigint, set binary")
     more = written(_compare(pairs, sets), "links")
+    drop(wanted, queries, asked, opened, pairs, labels)
 
     # An id with several texts links their nodes.
     several = nodes.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a != most").select("id", "a")
     own = nodes.join(several.hint("merge"), "id").where("a != node").select("a", F.col("node").alias("b"))
     final = components(links.union(more).union(own))
+    drop(links, more)
     out = nodes.join(final, "node", "left").groupBy("id").agg(F.min(F.coalesce("label", "node")).alias("component"))
     out = out.select(F.col("id").alias("of"), "component")
     return signatures.select("id", "n").join(out, F.col("id") == F.col("of"), "left").select(

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from harborbook.llm.tables import written
+from harborbook.llm.tables import drop, written
 from harborbook.llm.texts import WORD_GAP, bound
 
 WORDS = 50
@@ -83,7 +83,10 @@ def repeated_runs(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     reached = F.max("last").over(doc.rowsBetween(Window.unboundedPreceding, -1))
     runs = spans.withColumn("_new", F.coalesce(F.col("first") > reached + 1, F.lit(True)).cast("int"))
     runs = runs.withColumn("_run", F.sum("_new").over(doc))
-    return runs.groupBy("_id", "_text", "_run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("_run")
+    runs = runs.groupBy("_id", "_text", "_run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("_run")
+    runs = written(runs, "runs")
+    drop(windows, marks, origins)
+    return runs
 
 
 def delete_repeated_runs(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
@@ -106,7 +109,7 @@ def delete_repeated_runs(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
 def _delete_runs(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
     runs = repeated_runs(docs, doc_id=doc_id, text=text, words=words)
     runs = runs.groupBy("_id", "_text").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("_runs"))
-    runs = written(runs.select(F.col("_id").alias("_of"), F.col("_text").alias("_of_text"), "_runs"), "runs")
+    runs = runs.select(F.col("_id").alias("_of"), F.col("_text").alias("_of_text"), "_runs")
     # One plan at every size: the runs grow with the documents, so they are never broadcast.
     same = (F.col("_id") == F.col("_of")) & (F.col("_text") == F.col("_of_text"))
     joined = _keyed(docs, doc_id, text).join(runs.hint("merge"), same, "left")

@@ -24,10 +24,20 @@ def shared_folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a result and go on from the written table: what follows neither computes it again nor, after a lost executor,
-    anything before it.  The table stays until the owner of the folder removes it."""
+    anything before it.  The table stays until ``drop`` or the owner of the folder removes it."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove tables made by ``written`` that no later step reads, because what was made of them is written itself."""
+    for df in tables:
+        spark, path = df.sparkSession, df._written_at
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def ship_package(spark: SparkSession) -> None:
