@@ -49,6 +49,7 @@ from harborbook.operators.enrich import (
     latest_scores,
 )
 from harborbook.operators.flows import (
+    change,
     earned_exposure,
     increments,
     increments_of_rows,
@@ -77,6 +78,7 @@ from harborbook.operators.losses import (
     rollup_measures,
     tpa_id_trim,
 )
+from harborbook.operators.ranges import previous_values, running_total_of_rows
 from harborbook.operators.rating import (
     base_premium_fallback,
     customer_inception,
@@ -259,6 +261,45 @@ def order_to_order_increments(spark, sf_dir):
     return increments_of_rows(days, "o_custkey", "eval_date", ["o_orderkey"], {"amount": "amount_inc"}, {"amount": "decimal(15,2)"})
 
 
+#: Half of all lines, those of even orders, belong to one key and one month.
+HOT_LINES = """
+SELECT CASE WHEN l_orderkey % 2 = 0 THEN NULL ELSE l_suppkey END AS supplier,
+       CAST(CASE WHEN l_orderkey % 2 = 0 THEN 199501 ELSE year(l_shipdate) * 100 + month(l_shipdate) END AS INTEGER) AS eval_date,
+       l_orderkey, l_linenumber, CAST(CASE WHEN l_linenumber = 7 THEN NULL ELSE l_extendedprice END AS DECIMAL(15,2)) AS amount
+FROM lineitem"""
+HOT_ORDER = ["eval_date", "l_orderkey", "l_linenumber", "amount"]
+
+
+def hot_lines(spark, sf_dir):
+    even = F.col("l_orderkey") % 2 == 0
+    return table(spark, sf_dir, "lineitem").select(
+        F.when(~even, F.col("l_suppkey")).alias("supplier"),
+        F.when(even, F.lit(199501)).otherwise(yyyymm("l_shipdate")).alias("eval_date"),
+        "l_orderkey",
+        "l_linenumber",
+        F.when(F.col("l_linenumber") != 7, F.col("l_extendedprice")).cast("decimal(15,2)").alias("amount"),
+    )
+
+
+@query(f"""
+SELECT *, CAST(coalesce(amount - lag(amount) OVER w, amount) AS DECIMAL(16,2)) AS amount_inc
+FROM ({HOT_LINES})
+WINDOW w AS (PARTITION BY supplier ORDER BY eval_date, l_orderkey, l_linenumber, amount NULLS FIRST)""")
+def line_increments_with_a_hot_key(spark, sf_dir):
+    rows = previous_values(hot_lines(spark, sf_dir), "supplier", HOT_ORDER, ["amount"])
+    inc = change(F.col("amount"), F.col("_prior")["amount"]).cast("decimal(16,2)").alias("amount_inc")
+    return rows.select("supplier", *HOT_ORDER, inc)
+
+
+@query(f"""
+SELECT *, CAST(sum(amount) OVER w AS DECIMAL(25,2)) AS amount_cum
+FROM ({HOT_LINES})
+WINDOW w AS (PARTITION BY supplier ORDER BY eval_date, l_orderkey, l_linenumber, amount NULLS FIRST ROWS UNBOUNDED PRECEDING)""")
+def line_running_total_with_a_hot_key(spark, sf_dir):
+    out = running_total_of_rows(hot_lines(spark, sf_dir), "supplier", HOT_ORDER, {"amount": "amount_cum"})
+    return out.withColumn("amount_cum", F.col("amount_cum").cast("decimal(25,2)"))
+
+
 # --- filters, joins, sets, sources ------------------------------------------------------------
 
 

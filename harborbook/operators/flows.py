@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harborbook.functions import days_between, fraction_of, nz, yyyymm
-from harborbook.operators.lineage import settle
+from harborbook.operators.ranges import previous_values
 from harborbook.operators.skew import NO_HOT, Hot
 
 
@@ -97,9 +97,9 @@ def increments_of_rows(
 ) -> DataFrame:
     """``increments`` where a key may have any number of rows per period, ordered by ``tie_break``.
 
-    Without hot keys this is one window.  Otherwise no task holds a key: rows are compared inside
-    ``(key, period)``, and only the last row of each period travels on to the first row of the next, which
-    gives the rows of the window.  ``tie_break`` should order the rows of a period fully.
+    Without hot keys this is one window.  Otherwise rows lie in ranges of (key, period, ties), and only the last row of a
+    range travels on to the next one (see ``operators.ranges``), so neither a key nor a period of it is held by one task.
+    ``tie_break`` should order the rows of a period fully.
     """
     types = types or {}
     ties = [F.asc_nulls_first(t) for t in tie_break]
@@ -112,17 +112,7 @@ def increments_of_rows(
         changes = [typed(c, change(F.col(c), F.lag(c).over(window))).alias(n) for c, n in columns.items()]
         return df.select("*", *changes)
 
-    values = F.struct(*columns)
-    # A struct equals another with NULL in the same places, so NULL keys stay a group of their own.
-    rows = settle(df.withColumn("_bucket", F.struct(key, order)), "increments")
-
-    last = rows.groupBy("_bucket").agg(F.max_by(values, F.struct(*tie_break)).alias("_last"))
-    chain = Window.partitionBy(F.col("_bucket")[key]).orderBy(F.col("_bucket")[order])
-    before = last.select("_bucket", F.lag("_last").over(chain).alias("_before"))
-
-    inside = Window.partitionBy("_bucket").orderBy(*ties)
-    rows = rows.withColumn("_sibling", F.lag(values).over(inside)).join(before, "_bucket", "left")
-    rows = rows.withColumn("_prior", F.coalesce("_sibling", "_before"))
+    rows = previous_values(df, key, [order, *tie_break], list(columns))
     changes = [typed(c, change(F.col(c), F.col("_prior")[c])).alias(n) for c, n in columns.items()]
     return rows.select(*df.columns, *changes)
 

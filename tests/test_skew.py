@@ -3,9 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from harborbook.operators.flows import increments_of_rows
+from harborbook.operators.ranges import in_ranges, previous_values, running_total_of_rows
 from harborbook.operators.skew import NO_HOT, Hot, Skew, attach_totals, find_hot_keys, fold_copies, salted_join
 
 SKEW = Skew(rows=50, splits=4)
@@ -68,6 +70,30 @@ def test_row_increments(rows, limit):
     assert listed(spread) == listed(plain)
 
 
+@pytest.mark.parametrize("parts", [1, 4, 37])
+def test_ranges_hand_on_what_stood_before(spark, rows, parts):
+    """Windows over keys of which one has a third of the rows, cut into any number of ranges; NULL keys and values too."""
+    given = rows.select("k", "t", F.when(F.col("v") > 20, F.col("v")).alias("v"), F.monotonically_increasing_id().alias("id")).cache()
+    window = Window.partitionBy("k").orderBy("t", "id")
+    want = given.select("*", F.lag("v").over(window).alias("p"), F.sum("v").over(window.rowsBetween(Window.unboundedPreceding, 0)).alias("s"))
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = previous_values(given, "k", ["t", "id"], ["v"]).select("k", "t", "v", "id", F.col("_prior.v").alias("p"))
+        assert listed(got) == listed(want.drop("s"))
+        got = running_total_of_rows(given, "k", ["t", "id"], {"v": "s"})
+        assert got.schema["s"].dataType == want.schema["s"].dataType
+        assert listed(got) == listed(want.drop("p"))
+        assert running_total_of_rows(given.limit(0), "k", ["t", "id"], {"v": "s"}).count() == 0
+        # Only the ends of ranges travel: no part holds much more than its share.
+        if parts == 37:
+            sizes = [r["count"] for r in in_ranges(given, ["k"], ["t", "id"]).groupBy("_part").count().collect()]
+            assert len(sizes) > 20 and max(sizes) < 60
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 def test_no_hot_key_is_left_out(spark):
     many = spark.range(1200).selectExpr("id % 400 AS k")
     assert len(find_hot_keys(many, {"k": ["k"]}, Skew(rows=3, splits=2))["k"].hashes) == 400
