@@ -157,13 +157,14 @@ def fit_rules(x: np.ndarray, y: np.ndarray) -> RuleModel:
 def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> RuleModel:
     """Fit on at most ``sample`` labelled documents that are not held out.
 
-    Of several labels of an id the smallest counts, null labels and ids do not; repeated documents are learned as often as
-    they are there.
+    Of several labels of an id the smallest counts, null labels and ids do not; of several texts of an id the one with the
+    least hash is learned, so ``sample`` also bounds the rows that reach the driver.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
     known = known.groupBy(F.col(doc_id).alias("_id")).agg(F.min(label).alias("_label"))
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     pairs = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(known), "_id")
+    pairs = pairs.groupBy("_id", "_label").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
     rows = with_statistics(pairs, "_text").select("_label", *FEATURES).collect()
     data = np.array([tuple(r) for r in rows], float).reshape(len(rows), 1 + len(FEATURES))
     data = data[np.lexsort(data.T)]  # the order in which rows arrive must not matter
