@@ -30,9 +30,13 @@ def book_rows(
     return rows.where(F.col("end_date") > F.col("start_date")) if positive_term else rows
 
 
+def bind_rows(transactions: DataFrame, lob: str) -> DataFrame:
+    return transactions.where((F.col("transaction_type") == "BIND") & (F.col("lob") == lob))
+
+
 def latest_bind(transactions: DataFrame, lob: str, columns: Sequence[str]) -> DataFrame:
     """Newest bind transaction per policy."""
-    binds = transactions.where((F.col("transaction_type") == "BIND") & (F.col("lob") == lob))
+    binds = bind_rows(transactions, lob)
     order = ["tx_effective_date", "policy_transaction_id"]
     return latest_per_key(binds.select("policy_id", *order, *columns), "policy_id", order).drop(*order)
 
@@ -68,7 +72,8 @@ def business_profile(
     """Address, credit score and crime scores per business, so policies need one join instead of three."""
     address = latest_address(addresses).where(F.col("business_id").isNotNull())
     address = address.withColumn("street", F.lower("street_address")).withColumn("zip_code_5digit", zip5("zip_code"))
-    crimes = crime_scores(third_party, property_risk, config.crime_provider).drop("creation_time")
+    crimes = crime_scores(third_party, property_risk, config.crime_provider, at=address.select("street", "zip_code_5digit"))
+    crimes = crimes.drop("creation_time")
     address = address.join(crimes, ["street", "zip_code_5digit"], "left")
     scored = latest_scores(scores).where(F.col("business_id").isNotNull())
     # A business may be known to either source alone.

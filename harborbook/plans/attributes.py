@@ -11,6 +11,7 @@ from harborbook.config import EARNED_TRANS, WRITTEN_TRANS, MartConfig
 from harborbook.functions import days_between, guarded_number, json_text, yyyymm
 from harborbook.operators.crime import CRIMES
 from harborbook.operators.enrich import (
+    bind_rows,
     book_rows,
     business_profile,
     company_metrics,
@@ -21,6 +22,7 @@ from harborbook.operators.enrich import (
     newest_policy_row,
 )
 from harborbook.operators.keys import latest_per_key
+from harborbook.operators.lookups import likely_wanted
 from harborbook.operators.losses import prior_loss_flag
 from harborbook.operators.skew import salted_join
 from harborbook.plans.catalogue import EQUIPMENT_LIMIT, SUBCONTRACTOR_COST
@@ -51,11 +53,17 @@ def bound_documents(
     quote: Sequence[str] = (),
     rating: Sequence[str] = (),
 ) -> DataFrame:
-    """Newest bind of each policy with its quote and the rating of that quote."""
-    binds = latest_bind(book.policy_transactions.where("policy_id is not null"), config.lob, ["last_quote_id", *bind])
-    quotes = latest_quote(book.quotes.where("quote_id is not null"), ["job_id", *quote])
-    ratings = latest_rating(book.rating.where("job_id is not null"), config.lob, rating)
-    quotes = quotes.withColumnRenamed("quote_id", "last_quote_id")
+    """Newest bind of each policy with its quote and the rating of that quote.
+
+    Quotes that no bind names, and ratings of no such quote, are left out before the newest ones are chosen, so their
+    documents are neither moved nor sorted.
+    """
+    transactions = book.policy_transactions.where("policy_id is not null")
+    binds = latest_bind(transactions, config.lob, ["last_quote_id", *bind])
+    quotes = likely_wanted(book.quotes, ["quote_id"], bind_rows(transactions, config.lob).select("last_quote_id"))
+    ratings = likely_wanted(book.rating, ["job_id"], quotes.select("job_id"))
+    quotes = latest_quote(quotes, ["job_id", *quote]).withColumnRenamed("quote_id", "last_quote_id")
+    ratings = latest_rating(ratings, config.lob, rating)
     return binds.join(quotes, "last_quote_id", "left").join(ratings, "job_id", "left").drop("last_quote_id", "job_id")
 
 
@@ -91,13 +99,12 @@ def policy_attributes(book: Book, config: MartConfig, spine: DataFrame) -> DataF
         rating=["calculation_summary"],
     )
     documents = documents.withColumn(
-        "blanket_equip_occ_lim", guarded_number(json_text("calculation_summary", *EQUIPMENT_LIMIT, missing="null"))
+        "blanket_equip_occ_lim",
+        guarded_number(json_text("calculation_summary", *EQUIPMENT_LIMIT, missing="null"), strict=config.strict_documents),
     ).drop("calculation_summary")
-    answers = book.submissions.where("first_offer_id is not null").select(
-        F.col("first_offer_id").alias("offer_id"),
-        "num_of_employees",
-        guarded_number(json_text("questionnaire_answers", *SUBCONTRACTOR_COST, missing="null")).alias("subcont_costs"),
-    )
+    answers = book.submissions.where("first_offer_id is not null")
+    cost = guarded_number(json_text("questionnaire_answers", *SUBCONTRACTOR_COST, missing="null"), strict=config.strict_documents)
+    answers = answers.select(F.col("first_offer_id").alias("offer_id"), "num_of_employees", cost.alias("subcont_costs"))
     documents = documents.join(answers, "offer_id", "left").drop("offer_id")
 
     header = book.policies.where("policy_id is not null").select(
