@@ -54,6 +54,12 @@ def at(doc: str, path: tuple[str, ...]) -> str:
     return f"CASE WHEN json_valid({doc}) THEN json_extract_string({doc}, '${keys}') END"
 
 
+def text_of(f: JsonField, doc: str) -> str:
+    """Text of a field; a sub-document is read by a path call of its own."""
+    found = at(at(doc, f.outer), f.rest) if f.inner else at(doc, f.path)
+    return f"nullif(split_part({found}, '|', 1), '')" if f.split else f"nullif({found}, '')"
+
+
 def number(text: str, dtype: str = "decimal(18,0)", default: str | None = None, split: bool = False) -> str:
     text = f"split_part({text}, '|', 1)" if split else text
     value = f"try_cast(nullif({text}, '') AS {dtype})"

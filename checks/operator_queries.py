@@ -8,7 +8,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from checks import mart_sql as Q
@@ -37,7 +37,7 @@ from harborbook.functions import (
     yyyymm,
     zip5,
 )
-from harborbook.functions.jsonfields import json_paths
+from harborbook.functions.jsonfields import json_paths, json_problems
 from harborbook.operators.calendars import at_month_ends, month_spine, up_to_last_month
 from harborbook.operators.crime import CRIMES, crime_scores
 from harborbook.operators.enrich import (
@@ -340,6 +340,30 @@ def orders_written_and_read_back(spark, sf_dir):
     return spark.read.parquet(path).select(days.columns)
 
 
+FILE_ROWS = 500
+
+
+@query("""
+SELECT o_orderstatus, count(*) AS orders, CAST(0 AS BIGINT) AS overlapping_files, CAST(0 AS BIGINT) AS files_too_large
+FROM orders GROUP BY o_orderstatus""")
+def orders_in_bounded_files(spark, sf_dir):
+    """Files of orders per status: rows, files that begin before the one before them ends, files above the bound."""
+    path = f"{shared_folder(spark)}/orders-in-files-{uuid.uuid4().hex}"
+    days = orders_by_day(spark, sf_dir).select("o_orderkey", "o_custkey", "o_orderstatus", "day")
+    write_mart(days, path, ["o_orderstatus"], ["o_custkey"], rows_per_file=FILE_ROWS)
+    rows = spark.read.parquet(path).select("o_orderstatus", "o_custkey", F.col("_metadata.file_path").alias("file"))
+    files = rows.groupBy("o_orderstatus", "file").agg(
+        F.min("o_custkey").alias("low"), F.max("o_custkey").alias("high"), F.count(F.lit(1)).alias("n")
+    )
+    in_order = Window.partitionBy("o_orderstatus").orderBy("low", "high")
+    files = files.withColumn("before", F.max("high").over(in_order.rowsBetween(Window.unboundedPreceding, -1)))
+    return files.groupBy("o_orderstatus").agg(
+        F.sum("n").alias("orders"),
+        F.count_if(F.col("before") > F.col("low")).alias("overlapping_files"),
+        F.count_if(F.col("n") > FILE_ROWS).alias("files_too_large"),
+    )
+
+
 @query(over_book(f"SELECT policy_id, policy_reference, date, trans, dollar_amount FROM tx WHERE end_date > start_date",
                  Q.months(CONFIG.through), Q.TX))
 def book_transactions(spark, sf_dir):
@@ -454,6 +478,54 @@ def rating_factors_of_every_document(spark, sf_dir):
     return json_fields(rows, _A1).drop("calculation")
 
 
+# A sub-document is an object, the text of one, or no JSON, by the order; both engines read this SQL.
+_SUB = """concat('{"limits": {"OCCURRENCE": "', CAST(l_partkey AS STRING), '", "DEDUCTIBLE": ', CASE WHEN l_linenumber = 3 THEN '"none"' ELSE CAST(l_linenumber AS STRING) END, '}}')"""
+_DOCUMENT = f"""CASE WHEN l_orderkey % 7 = 6 THEN '{{bad' ELSE concat(
+  '{{"coverages": {{"BASE": {{"subCoverages": {{"BLANKET_EQUIPMENT": ',
+  CASE l_orderkey % 3 WHEN 0 THEN {_SUB} WHEN 1 THEN concat('"', replace({_SUB}, '"', concat(chr(92), '"')), '"') ELSE '"{{oops"' END,
+  '}}}}}}}}') END AS quote_package_data"""
+_NESTED = f"SELECT l_orderkey, l_linenumber, {_DOCUMENT} FROM lineitem"
+_EQUIPMENT = [f for f in K.RATING_MASTER_FIELDS if f.path[:4] == ("coverages", "BASE", "subCoverages", "BLANKET_EQUIPMENT")]
+
+
+def nested_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", _DOCUMENT)
+
+
+@query(f"WITH d AS ({_NESTED}) SELECT l_orderkey, l_linenumber, "
+       + ", ".join(f"try_cast({Q.text_of(f, 'quote_package_data')} AS {f.dtype}) AS {f.name}" for f in _EQUIPMENT) + " FROM d")
+def limits_in_nested_documents(spark, sf_dir):
+    return json_fields(nested_documents(spark, sf_dir), _EQUIPMENT).drop("quote_package_data")
+
+
+def _problems_sql(rows: str, keys: str, fields: Sequence[JsonField]) -> str:
+    """Every problem by path calls of its own."""
+    entries = []
+    for f in fields:
+        text = Q.text_of(f, f.source)
+        entries.append((f.source, f"'{f.name}'", "number", text, f"{text} IS NOT NULL AND try_cast({text} AS {f.dtype}) IS NULL"))
+    for source in {f.source: 0 for f in fields}:
+        entries.append((source, "NULL", "document", source, f"nullif({source}, '') IS NOT NULL AND NOT json_valid({source})"))
+    for (source, outer), name in {(f.source, f.outer): f.name for f in reversed(fields) if f.inner}.items():
+        sub = Q.at(source, outer)
+        entries.append((source, f"'{name}'", "sub-document", sub, f"nullif({sub}, '') IS NOT NULL AND NOT json_valid({sub})"))
+    listed = ", ".join(
+        f"CASE WHEN {wrong} THEN {{'source': '{s}', 'field': CAST({n} AS VARCHAR), 'problem': '{p}', 'found': {t}}} END" for s, n, p, t, wrong in entries
+    )
+    return f"""SELECT {keys}, p.source AS source, p.field AS field, p.problem AS problem, p.found AS found
+FROM (SELECT {keys}, unnest([{listed}]) AS p FROM {rows}) WHERE p IS NOT NULL"""
+
+
+@query(f"WITH d AS ({_NESTED}) " + _problems_sql("d", "l_orderkey, l_linenumber", _EQUIPMENT))
+def problems_of_nested_documents(spark, sf_dir):
+    return json_problems(nested_documents(spark, sf_dir), _EQUIPMENT, ["l_orderkey", "l_linenumber"])
+
+
+@query(over_book(_problems_sql("rating", "job_id, dateid", _A2)))
+def problems_of_rating_documents(spark, sf_dir):
+    return json_problems(load_book(spark, sf_dir).rating, _A2, ["job_id", "dateid"])
+
+
 @query(over_book(
     "SELECT r.job_id, r.lob, CAST(r.update_time AS VARCHAR) AS at, "
     + ", ".join(Q.field(f, {"calculation_summary": "r"}) for f in _A2) + " FROM rating r"))

@@ -71,8 +71,8 @@ def pricing_breakdown(book: Book, config: MartConfig, hot: Hot = NO_HOT) -> Data
     ).distinct()
 
     documents = bound_documents(book, config, rating=["calculation", "calculation_summary"])
-    documents = json_fields(documents, RATE_CHANGE_FIELDS, defaults=False)
-    limit = guarded_number(json_text("calculation_summary", *EQUIPMENT_LIMIT, missing="null"))
+    documents = json_fields(documents, RATE_CHANGE_FIELDS, defaults=False, strict=config.strict_documents, row="policy_id")
+    limit = guarded_number(json_text("calculation_summary", *EQUIPMENT_LIMIT, missing="null"), strict=config.strict_documents)
     documents = documents.withColumn("exposure", limit).drop("calculation", "calculation_summary")
 
     header = book.policies.select("policy_id", F.col("yearly_premium").alias("sold_premium"))

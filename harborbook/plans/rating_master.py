@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from harborbook.config import INCEPTION_TRANS, MartConfig
 from harborbook.functions import blank_to_null, json_fields, nz, yyyymm
-from harborbook.functions.jsonfields import fill_defaults, json_paths
+from harborbook.functions.jsonfields import checked_json, fill_defaults, json_paths
 from harborbook.operators.calendars import month_spine
 from harborbook.operators.crime import CRIMES
 from harborbook.operators.enrich import (
@@ -99,9 +99,11 @@ def rating_master(book: Book, config: MartConfig) -> DataFrame:
     documents = bound_documents(
         book, config, bind=["package_name"], quote=["quote_package_data"], rating=["calculation"]
     )
+    if config.strict_documents:
+        documents = checked_json(documents, ["calculation", "quote_package_data"], "policy_id")
     texts = {"_final": FINAL_BASE_PREMIUM, "_calculated": CALCULATED_BASE_PREMIUM}
     documents = json_paths(documents, "calculation", texts)
-    documents = json_fields(documents, RATING_MASTER_FIELDS, defaults=False)
+    documents = json_fields(documents, RATING_MASTER_FIELDS, defaults=False, strict=config.strict_documents, row="policy_id")
     documents = documents.withColumn("base_premium", base_premium_fallback("_final", "_calculated"))
     documents = documents.drop("calculation", "quote_package_data", *texts)
 

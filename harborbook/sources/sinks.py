@@ -5,14 +5,36 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from harborbook.operators.lineage import settle
 
-def write_mart(df: DataFrame, path: str, partition_by: Sequence[str] = (), sort_by: Sequence[str] = ()) -> None:
+
+def write_mart(
+    df: DataFrame, path: str, partition_by: Sequence[str] = (), sort_by: Sequence[str] = (), rows_per_file: int | None = None
+) -> None:
     """Overwrite ``path`` with the mart as Parquet.
 
-    Rows are ordered inside each file only: readers filter on the sort columns' ranges, and no global
-    sort of the result is paid for.
+    Rows are ordered inside each file, so readers filter on the sort columns' ranges.  Without ``rows_per_file`` each task
+    writes a file per partition it has rows of, and nothing is shuffled.
+
+    With ``rows_per_file`` no file has more rows, and n rows in p partitions make 2 * n / ``rows_per_file`` + p + 1 files
+    at most.  The rows are dealt into ranges of (partition, sort columns), so the files of a partition follow each other:
+    two of them share the value at which one ends and the next begins at most.  A value or a partition with very many rows is
+    dealt to several tasks.  The rows are counted and sampled, so they are written to the shared folder first.
     """
-    out = df.sortWithinPartitions(*partition_by, *sort_by) if sort_by else df
-    writer = out.write.mode("overwrite")
+    keys = [*partition_by, *sort_by]
+    out = df
+    if rows_per_file is not None:
+        if rows_per_file < 1:
+            raise ValueError("rows_per_file must be 1 or more")
+        rows = settle(df, "mart")
+        files = -(-rows.count() // rows_per_file)
+        spread = F.xxhash64(*[c for c, t in rows.dtypes if not t.startswith("map")])
+        out = rows.withColumn("_tie", spread).repartitionByRange(max(files, 1), *keys, "_tie")
+    if keys:
+        out = out.sortWithinPartitions(*keys)
+    writer = out.drop("_tie").write.mode("overwrite") if rows_per_file is not None else out.write.mode("overwrite")
+    if rows_per_file is not None:
+        writer = writer.option("maxRecordsPerFile", rows_per_file)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)

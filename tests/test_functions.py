@@ -19,6 +19,7 @@ from harborbook.functions import (
     yyyymm,
     zip5,
 )
+from harborbook.functions.jsonfields import checked_json, json_problems
 
 
 def values(spark, kind, items, column):
@@ -106,3 +107,56 @@ def test_duplicate_key_takes_last(spark):
     df = spark.createDataFrame([('{"a": "1", "a": "2"}',)], "v string")
     assert json_fields(df, [JsonField("x", "v", ("a",))]).first()["x"] == 2
     assert df.select(json_text("v", "a")).first()[0] == "1"
+
+
+SUB = '{"limits": {"A": "7", "B": "x"}}'
+NESTED = [
+    '{"c": {"s": %s}}' % SUB,
+    '{"c": {"s": "%s"}}' % SUB.replace('"', '\\"'),
+    '{"c": {"s": "{oops"}}',
+    '{"c": {"s": ""}}',
+    '{"c": {}}',
+    "{bad",
+    "",
+    None,
+]
+INNER = [JsonField("a", "v", ("c", "s", "limits", "A"), inner=2), JsonField("b", "v", ("c", "s", "limits", "B"), inner=2)]
+
+
+def test_sub_documents_as_objects_and_texts(spark):
+    df = spark.createDataFrame(list(enumerate(NESTED)), "i int, v string")
+    got = json_fields(df, INNER).orderBy("i").collect()
+    assert [(r["a"], r["b"]) for r in got] == [(7, None), (7, None)] + [(None, None)] * 6
+    with pytest.raises(ValueError, match="sub-document"):
+        JsonField("a", "v", ("c",), inner=1)
+    with pytest.raises(ValueError, match="read as"):
+        json_fields(df, [*INNER, JsonField("whole", "v", ("c", "s", "limits", "A"))])
+
+
+def test_problems_name_the_row(spark):
+    df = spark.createDataFrame(list(enumerate(NESTED)), "i int, v string")
+    got = {(r["i"], r["source"], r["field"], r["problem"], r["found"]) for r in json_problems(df, INNER, ["i"]).collect()}
+    assert got == {
+        (0, "v", "b", "number", "x"),
+        (1, "v", "b", "number", "x"),
+        (2, "v", "a", "sub-document", "{oops"),
+        (5, "v", None, "document", "{bad"),
+    }
+    assert json_problems(df.limit(0), INNER, ["i"]).count() == 0
+
+
+@pytest.mark.parametrize("row, message", [(0, "b is no number: x, i 0"), (2, "a lies in no JSON, i 2"), (5, "v is no JSON, i 5")])
+def test_strict_fields_stop_at_the_row(spark, row, message):
+    df = spark.createDataFrame([(row, NESTED[row])], "i int, v string")
+    with pytest.raises(Exception, match=message):
+        json_fields(checked_json(df, ["v"], "i"), INNER, strict=True, row="i").collect()
+
+
+def test_strict_fields_let_good_rows_pass(spark):
+    good = [JsonField("a", "v", ("c", "s", "limits", "A"), inner=2)]
+    rows = [(i, NESTED[i]) for i in (0, 1, 3, 4, 6, 7)]
+    df = spark.createDataFrame(rows, "i int, v string")
+    got = json_fields(checked_json(df, ["v"], "i"), good, strict=True, row="i").orderBy("i").collect()
+    assert [r["a"] for r in got] == [7, 7, None, None, None, None]
+    with pytest.raises(ValueError, match="tells the rows apart"):
+        json_fields(df, good, strict=True)
