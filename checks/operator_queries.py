@@ -83,6 +83,7 @@ from harborbook.operators.rating import (
     base_premium_fallback,
     customer_inception,
     policy_term,
+    prior_term_classes,
     prior_term_pairs,
     rate_premium,
     state_switch_premium,
@@ -873,6 +874,20 @@ def orders_beside_the_term_before(spark, sf_dir):
     return prior_term_pairs(order_terms(spark, sf_dir), carried, ["business_id", "o_orderkey", "policy_term", "amount"])
 
 
+@query(over_orders("""
+SELECT business_id, policy_term, count(DISTINCT o_orderkey) AS n_policies, count(DISTINCT key_before) AS n_earlier, count(*) AS n_pairs,
+       CAST(sum(amount) AS DECIMAL(38,2)) AS amount, CAST(sum(amount_before) AS DECIMAL(38,2)) AS amount_before
+FROM (SELECT a.business_id, a.policy_term, a.o_orderkey, a.amount, b.o_orderkey AS key_before, b.amount AS amount_before
+      FROM terms a
+      LEFT JOIN (SELECT * FROM terms QUALIFY rank() OVER (PARTITION BY business_id, policy_term ORDER BY eff_date DESC) = 1) b
+        ON b.business_id = a.business_id AND b.policy_term = a.policy_term - 1)
+GROUP BY business_id, policy_term""", *_TERMS))
+def term_classes_of_orders(spark, sf_dir):
+    carried = {"o_orderkey": "key_before", "amount": "amount_before"}
+    keep = ["business_id", "o_orderkey", "policy_term", "amount"]
+    return prior_term_classes(order_terms(spark, sf_dir), carried, keep, ["amount", "amount_before"])
+
+
 @query("""
 SELECT p_partkey, CAST(base AS DECIMAL(18,4)) AS pure_premium_base, CAST(above AS DECIMAL(18,4)) AS pure_premium_ilf,
        CAST(base + above AS DECIMAL(18,4)) AS pure_premium,

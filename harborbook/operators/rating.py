@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harborbook.functions import as_col, blank_to_null, days_between, decimal_field
+from harborbook.functions import as_col, blank_to_null, days_between, decimal_field, nz
 from harborbook.operators.keys import top_rank_per_key
 from harborbook.operators.skew import NO_HOT, Hot, salted_join
 
@@ -62,16 +62,47 @@ def prior_term_pairs(
     the same last day all pair up; without a policy one term earlier the carried columns are NULL.
     ``keep`` contains ``business_id`` and ``policy_term``; ``hot`` holds the hot values of ``business_id``.
     """
-    last_of_term = top_rank_per_key(policies, ["business_id", "policy_term"], "eff_date")
-    earlier = last_of_term.where(F.col("business_id").isNotNull()).select(
-        "business_id", (F.col("policy_term") + 1).alias("policy_term"), *[F.col(c).alias(n) for c, n in carried.items()]
-    )
+    earlier = _last_of_term_before(policies, carried)
     current = policies.select(*keep).distinct()
     term = ["business_id", "policy_term"]
     paired = salted_join(current, earlier.distinct(), term, "left", hot=hot, hot_on=["business_id"])
     return paired.select(*keep, *carried.values()).distinct()
 
 
+def prior_term_classes(policies: DataFrame, carried: dict[str, str], keep: Sequence[str], sums: Sequence[str] = ()) -> DataFrame:
+    """What ``prior_term_pairs`` lists, counted and added up per business and term, without listing it.
+
+    All policies of a term meet the same earlier ones, so these are two classes, and n and m policies make n * m pairs.
+    Gives (business_id, policy_term, n_policies, n_earlier, n_pairs, sums), one row per class of current policies; a
+    policy without an earlier one is one pair.  ``sums`` names columns of ``keep`` and new names of ``carried``; each is
+    added up over all pairs, NULL where every value is.  Policies without a business or term have a class and no earlier one.
+    """
+    term = ["business_id", "policy_term"]
+    own = [c for c in sums if c in keep]
+    unknown = set(sums) - set(own) - set(carried.values())
+    if unknown:
+        raise ValueError(f"neither kept nor carried: {', '.join(sorted(unknown))}")
+    current = policies.select(*keep).distinct().groupBy(*term)
+    current = current.agg(F.count(F.lit(1)).alias("n_policies"), *[F.sum(c).alias(c) for c in own])
+    earlier = _last_of_term_before(policies, carried).distinct().groupBy(*term)
+    earlier = earlier.agg(F.count(F.lit(1)).alias("n_earlier"), *[F.sum(c).alias(c) for c in sums if c not in own])
+    met = current.join(earlier, term, "left").withColumn("n_earlier", nz("n_earlier"))
+    times = F.greatest("n_earlier", F.lit(1).cast("bigint"))
+
+    def over_pairs(c: str) -> Column:
+        return (F.col(c) * (times if c in own else F.col("n_policies")).cast("decimal(20,0)")).alias(c)
+
+    return met.select(*term, "n_policies", "n_earlier", (F.col("n_policies") * times).alias("n_pairs"), *map(over_pairs, sums))
+
+
+def _last_of_term_before(policies: DataFrame, carried: dict[str, str]) -> DataFrame:
+    """The carried columns of the policies that started last in a term, under the term after it."""
+    last_of_term = top_rank_per_key(policies, ["business_id", "policy_term"], "eff_date")
+    return last_of_term.where(F.col("business_id").isNotNull()).select(
+        "business_id", (F.col("policy_term") + 1).alias("policy_term"), *[F.col(c).alias(n) for c, n in carried.items()]
+    )
+
+
 def base_premium_fallback(final_text: Column | str, base_text: Column | str, strict: bool = False) -> Column:
     """The final base premium where one is given, else the first part of the base calculation."""
     from_base = decimal_field(base_text, "decimal(18,0)", split=True, strict=strict)

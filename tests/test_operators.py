@@ -1,6 +1,7 @@
 from datetime import date, datetime
 from decimal import Decimal as D
 
+import pytest
 from pyspark.sql import functions as F
 
 from harborbook.config import NON_CAT_CODES_CLAIMS, NON_CAT_CODES_POLICY, NON_CAT_FRAGMENTS_CLAIMS
@@ -21,6 +22,7 @@ from harborbook.operators.losses import (
 from harborbook.operators.rating import (
     base_premium_fallback,
     policy_term,
+    prior_term_classes,
     prior_term_pairs,
     rate_premium,
     state_switch_premium,
@@ -191,6 +193,30 @@ def test_terms_and_pairs(spark):
     assert got == [("m", None), ("n", None), ("w", None), ("x", None), ("y", None), ("z", "x"), ("z", "y")]
 
 
+def test_term_classes_equal_pairs(spark):
+    policies = [("b", 0, date(2024, 1, 1), 1, 10), ("b", 0, date(2024, 5, 1), 2, 20), ("b", 0, date(2024, 5, 1), 3, None),
+                ("b", 1, date(2025, 1, 1), 4, 5), ("b", 1, date(2025, 2, 1), 5, 6), ("b", 1, date(2025, 2, 1), 5, 6),
+                ("g", 2, date(2026, 1, 1), 6, None), (None, 0, date(2024, 1, 1), 7, 1), (None, 1, date(2025, 1, 1), 8, 1), ("h", None, date(2024, 1, 1), 9, 2)]
+    policies = spark.createDataFrame(policies, "business_id string, policy_term int, eff_date date, id int, amount int")
+    carried, keep = {"id": "before", "amount": "was"}, ["business_id", "policy_term", "id", "amount"]
+    term = ["business_id", "policy_term"]
+    pairs = prior_term_pairs(policies, carried, keep).groupBy(*term)
+    pairs = pairs.agg(F.countDistinct("id"), F.countDistinct("before"), F.count("*"), F.sum("amount").cast("int"), F.sum("was").cast("int"))
+    classes = prior_term_classes(policies, carried, keep, ["amount", "was"])
+    classes = classes.select(*term, "n_policies", "n_earlier", "n_pairs", F.col("amount").cast("int"), F.col("was").cast("int"))
+    got = {tuple(r) for r in classes.collect()}
+    assert got == {tuple(r) for r in pairs.collect()} and ("b", 1, 2, 2, 4, 22, 40) in got
+    assert prior_term_classes(policies.limit(0), carried, keep).count() == 0
+    with pytest.raises(ValueError, match="neither kept nor carried: eff_date"):
+        prior_term_classes(policies, carried, keep, ["eff_date"])
+
+
+def test_many_tied_policies_make_no_pairs_inside(spark):
+    tied = spark.range(20_000).selectExpr("'b' AS business_id", "int(id % 2) AS policy_term", "DATE '2024-01-01' AS eff_date", "id", "1 AS amount")
+    got = prior_term_classes(tied, {"id": "before", "amount": "was"}, ["business_id", "policy_term", "id", "amount"], ["was"])
+    assert rows(got.select("policy_term", "n_pairs", F.col("was").cast("long")), "policy_term") == [(0, 10_000, None), (1, 100_000_000, 100_000_000)]
+
+
 def test_premium_switches(spark):
     df = spark.createDataFrame([(0, "", "12|x", "CA"), (1, "7", "12|x", "TX"), (2, None, None, None)], "i int, f string, c string, st string")
     got = rows(df.select("i", base_premium_fallback("f", "c"), state_switch_premium("st", F.lit(1), F.lit(2)), tria_indicator(F.col("i") - 1)), "i")
