@@ -89,7 +89,7 @@ from harborbook.operators.rating import (
     state_switch_premium,
     tria_indicator,
 )
-from harborbook.operators.skew import attach_totals, salted_join
+from harborbook.operators.skew import attach_totals, find_hot_keys, salted_join
 from harborbook.plans import catalogue as K
 from harborbook.plans import claim_development as C
 from harborbook.plans import coverage_detail as M
@@ -301,6 +301,28 @@ def line_running_total_with_a_hot_key(spark, sf_dir):
     return out.withColumn("amount_cum", F.col("amount_cum").cast("decimal(25,2)"))
 
 
+@query(f"""
+SELECT *, CAST(sum(amount) OVER w AS DECIMAL(25,2)) AS month_amount, count(*) OVER w AS month_lines,
+       min(l_orderkey) OVER (PARTITION BY supplier) AS first_order
+FROM ({HOT_LINES})
+WINDOW w AS (PARTITION BY supplier, eval_date)""")
+def line_totals_with_a_hot_key(spark, sf_dir):
+    lines = hot_lines(spark, sf_dir)
+    hot = find_hot_keys(lines, {"supplier": ["supplier"]})["supplier"]
+    totals = {"month_amount": F.sum("amount"), "month_lines": F.count(F.lit(1))}
+    out = attach_totals(lines, ["supplier", "eval_date"], totals, hot, ["supplier"])
+    out = attach_totals(out, "supplier", {"first_order": F.min("l_orderkey")}, hot, of=lines)
+    return out.withColumn("month_amount", F.col("month_amount").cast("decimal(25,2)"))
+
+
+@query(f"""
+SELECT l.*, s_name FROM ({HOT_LINES}) l
+LEFT JOIN (SELECT nullif(s_suppkey, 1) AS s_suppkey, s_name FROM supplier) ON s_suppkey IS NOT DISTINCT FROM supplier""")
+def lines_with_supplier_and_a_hot_key(spark, sf_dir):
+    suppliers = table(spark, sf_dir, "supplier").select(F.nullif("s_suppkey", F.lit(1)).alias("supplier"), "s_name")
+    return salted_join(hot_lines(spark, sf_dir), suppliers, "supplier", null_safe=True)
+
+
 # --- filters, joins, sets, sources ------------------------------------------------------------
 
 

@@ -47,8 +47,8 @@ class MartConfig:
 
     ``carriers`` has no default: the companies on whose paper the book is written belong to the
     user.  ``as_of`` stands where a warehouse query would say "today", so a run can be repeated.
-    ``hot_rows`` is the number of rows from which one join key counts as hot and is spread over
-    ``splits`` tasks (see ``operators.skew``).  With ``strict_documents`` a text in a rating or quote document that should be a
+    A join key is spread over several tasks when it has more than 1 / ``hot_parts`` of the rows (see ``operators.skew``); by
+    default that is an average shuffle partition.  With ``strict_documents`` a text in a rating or quote document that should be a
     number and is none ends the query, and in the rating master a document that is no JSON does too, with an error that
     tells the policy; without, both count as missing.
     """
@@ -60,8 +60,7 @@ class MartConfig:
     lob: str = "IM"
     crime_provider: str = CRIME_PROVIDER
     trimmed_tpa: str = TRIMMED_TPA
-    hot_rows: int = 2_000_000
-    splits: int = 64
+    hot_parts: int | None = None
     strict_types: bool = False
     strict_documents: bool = False
 

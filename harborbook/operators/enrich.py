@@ -16,7 +16,7 @@ from harborbook.functions import zip5
 from harborbook.operators.calendars import up_to_last_month
 from harborbook.operators.crime import CRIMES, crime_scores
 from harborbook.operators.keys import latest_per_key, top_rank_per_key
-from harborbook.operators.skew import Hot, Skew, find_hot_keys
+from harborbook.operators.skew import Hot, find_hot_keys
 
 
 def book_rows(
@@ -101,7 +101,7 @@ def newest_policy_row(rows: DataFrame, tie_break: Sequence[str], then: Sequence[
 def hot_businesses(snapshots: DataFrame, config: MartConfig) -> Hot:
     """Businesses with very many snapshot rows."""
     rows = snapshots.where((F.col("lob") == config.lob) & F.col("carrier_name").isin(*config.carriers))
-    return find_hot_keys(rows, {"business": ["business_id"]}, Skew(config.hot_rows, config.splits))["business"]
+    return find_hot_keys(rows, {"business": ["business_id"]}, config.hot_parts)["business"]
 
 
 def activity_spine(keyed: DataFrame, spine: DataFrame, has_premium: str, loss_map: str) -> DataFrame:

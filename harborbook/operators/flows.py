@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from harborbook.functions import days_between, fraction_of, nz, yyyymm
 from harborbook.operators.ranges import previous_values
-from harborbook.operators.skew import NO_HOT, Hot
 
 
 def monthly_amounts(tx: DataFrame, key: str, date_col: str, measures: Mapping[str, Column]) -> DataFrame:
@@ -93,25 +92,18 @@ def increments_of_rows(
     tie_break: Sequence[str],
     columns: Mapping[str, str],
     types: Mapping[str, str] | None = None,
-    hot: Hot = NO_HOT,
 ) -> DataFrame:
     """``increments`` where a key may have any number of rows per period, ordered by ``tie_break``.
 
-    Without hot keys this is one window.  Otherwise rows lie in ranges of (key, period, ties), and only the last row of a
-    range travels on to the next one (see ``operators.ranges``), so neither a key nor a period of it is held by one task.
-    ``tie_break`` should order the rows of a period fully.
+    Rows lie in ranges of (key, period, ties), and only the last row of a range travels on to the next one (see
+    ``operators.ranges``), so neither a key nor a period of it is held by one task.  The ranges are a written table: the rows
+    are computed and written when this is called.  ``tie_break`` should order the rows of a period fully.
     """
     types = types or {}
-    ties = [F.asc_nulls_first(t) for t in tie_break]
 
     def typed(c: str, value: Column) -> Column:
         return value.cast(types[c]) if c in types else value
 
-    if not hot:
-        window = Window.partitionBy(key).orderBy(order, *ties)
-        changes = [typed(c, change(F.col(c), F.lag(c).over(window))).alias(n) for c, n in columns.items()]
-        return df.select("*", *changes)
-
     rows = previous_values(df, key, [order, *tie_break], list(columns))
     changes = [typed(c, change(F.col(c), F.col("_prior")[c])).alias(n) for c, n in columns.items()]
     return rows.select(*df.columns, *changes)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from harborbook.functions import as_col, blank_to_null, days_between, decimal_field, nz
 from harborbook.operators.keys import top_rank_per_key
-from harborbook.operators.skew import NO_HOT, Hot, salted_join
+from harborbook.operators.skew import Hot, salted_join
 
 TIER_LIMIT = 10_000
 
@@ -54,7 +54,7 @@ def rate_premium(
 
 
 def prior_term_pairs(
-    policies: DataFrame, carried: dict[str, str], keep: Sequence[str], hot: Hot = NO_HOT
+    policies: DataFrame, carried: dict[str, str], keep: Sequence[str], hot: Hot | None = None
 ) -> DataFrame:
     """Each policy beside the policies of its business one term earlier that started last in that term.
 

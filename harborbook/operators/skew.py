@@ -1,17 +1,15 @@
 """Whole-group totals and joins that keep working when one key holds a large share of the rows.
 
-A window or a shuffled join sends all rows of a key to one task.  ``find_hot_keys`` therefore looks
-for keys with very many rows first: it counts rows per hash of the key columns, pre-aggregated on the
-map side, and brings the hashes of the hot ones to the driver, all of them: of n rows there are at most
-n / ``Skew.rows`` for each kind of key.  Ordinary data has no such key, and then the operators here are the plain Spark ones.  Otherwise the rows of the hot keys are
-spread over ``splits`` sub-keys:
-
-* a total is pre-aggregated before its shuffle and joined back, instead of a window;
-* the other side of a join is repeated ``splits`` times, for the hot keys only.
-
-The counts only steer the plan.  Both plans give the same rows, whichever keys are named, since both
-sides decide by the same hash of the key.  The salt is a hash of the row, so a task that is run again
-after a lost executor sends each row to the same place.
+A shuffled join or window sends all rows of a key to one task.  Here every key gets a fan-out of its own: rows are counted
+per hash of the key columns, pre-aggregated on the map side, and a key with more rows than an average part (all rows /
+``parts``) is dealt over as many sub-keys as it would fill parts.  The other side of a join is repeated once per sub-key of
+its key, all other keys stay whole.  Totals are pre-aggregated and joined back.
+
+The counts stay a DataFrame in the plan: nothing is collected, no job runs while a plan is built, and the plan is the same at
+every size.  Fewer than ``parts`` keys can be larger than an average part, which bounds the side that is broadcast, and their
+sub-keys are fewer than ``2 * parts``.  Counts only steer the work; both sides decide by the same hash, so results do not
+depend on them.  The salt is a hash of the row, so a task that is run again after a lost executor sends each row to the same
+place; fold exact copies first where a key may have very many.
 """
 
 from __future__ import annotations
@@ -21,53 +19,41 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-@dataclass(frozen=True)
-class Skew:
-    """``rows``: rows from which a key counts as hot; ``splits``: tasks it is spread over."""
-
-    rows: int = 2_000_000
-    splits: int = 64
-
-
 @dataclass(frozen=True)
 class Hot:
-    """Hashes of the hot values of some key columns."""
-
-    hashes: tuple[int, ...] = ()
-    skew: Skew = Skew()
-
-    def __bool__(self) -> bool:
-        return bool(self.hashes)
+    """``fans`` holds (_hash, _fan), the hash of a hot value of some key columns and its number of sub-keys."""
 
-    def marks(self, keys: Sequence[str]) -> Column:
-        return F.xxhash64(*keys).isin(*self.hashes)
+    fans: DataFrame
 
+    def salted(self, df: DataFrame, keys: Sequence[str], salt: Column, name: str) -> DataFrame:
+        """``df`` with column ``name``: ``salt``, which may use ``_fan``, the fan-out of the row's key (1 if not hot)."""
+        fans = F.broadcast(self.fans)  # fewer than ``parts`` rows
+        marked = df.withColumn("_hash", F.xxhash64(*keys)).join(fans, "_hash", "left")
+        return marked.withColumn("_fan", F.coalesce("_fan", F.lit(1))).withColumn(name, salt).drop("_hash", "_fan")
 
-NO_HOT = Hot()
 
+def find_hot_keys(df: DataFrame, keys: Mapping[str, Sequence[str]], parts: int | None = None) -> dict[str, Hot]:
+    """Fan-outs for several keys from one pass over their columns; NULL is a value like any other.
 
-def find_hot_keys(df: DataFrame, keys: Mapping[str, Sequence[str]], skew: Skew) -> dict[str, Hot]:
-    """Hot values of several keys in one pass over their columns; NULL is a value like any other.
-
-    Runs a job when called; a key with ``skew.rows`` rows or more is never left out.
-    """
-    kinds = [F.struct(F.lit(name).alias("kind"), F.xxhash64(*columns).alias("hash")) for name, columns in keys.items()]
-    counts = df.select(F.inline(F.array(*kinds))).groupBy("kind", "hash").agg(F.count(F.lit(1)).alias("n"))
-    hot = counts.where(F.col("n") >= skew.rows).select("kind", "hash").collect()
-    return {name: Hot(tuple(sorted(r["hash"] for r in hot if r["kind"] == name)), skew) for name in keys}
-
-
-def fold_copies(df: DataFrame, hot: Hot, count_col: str = "copies") -> DataFrame:
-    """Exact copies of a row as one row with their number, where copies can be many.
-
-    Copies meet on the map side.  Without a hot key there are only few of any row, and each stays as it is.
+    ``parts`` is the number of shuffle partitions unless given.
     """
-    if not hot:
-        return df.withColumn(count_col, F.lit(1).cast("bigint"))
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kinds = [F.struct(F.lit(name).alias("kind"), F.xxhash64(*columns).alias("_hash")) for name, columns in keys.items()]
+    counts = df.select(F.inline(F.array(*kinds))).groupBy("kind", "_hash").agg(F.count(F.lit(1)).alias("n"))
+    mean = counts.agg(F.sum("n") / F.lit(len(kinds) * parts)).scalar()
+    large = counts.where(F.col("n") > mean)
+    return {
+        name: Hot(large.where(F.col("kind") == name).select("_hash", F.ceil(F.col("n") / mean).cast("int").alias("_fan")))
+        for name in keys
+    }
+
+
+def fold_copies(df: DataFrame, count_col: str = "copies") -> DataFrame:
+    """Exact copies of a row as one row with their number; they meet on the map side."""
     return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias(count_col))
 
 
@@ -77,31 +63,27 @@ def salted_join(
     on: Sequence[str] | str,
     how: str = "left",
     *,
-    hot: Hot = NO_HOT,
+    hot: Hot | None = None,
     hot_on: Sequence[str] | None = None,
     null_safe: bool = False,
 ) -> DataFrame:
-    """``left.join(right, on, how)`` for ``how`` left or inner with hot keys of ``left`` spread.
+    """``left.join(right, on, how)`` for ``how`` left or inner with the large keys of ``left`` spread.
 
-    ``hot`` speaks about the columns ``hot_on`` (default: ``on``).  ``null_safe`` lets NULL match NULL.
+    ``hot`` speaks about the columns ``hot_on`` (default: ``on``); without it the rows of ``left`` are counted, which reads
+    their keys once more.  ``null_safe`` lets NULL match NULL.
     """
     keys = [on] if isinstance(on, str) else list(on)
     if how not in ("left", "inner"):
         raise ValueError(f"salted_join supports left and inner joins, not {how!r}")
-    if not hot and not null_safe:
-        return left.join(right, keys, how)
     hot_on = list(hot_on or keys)
+    hot = hot or find_hot_keys(left, {"key": hot_on})["key"]
     other = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    hashed = [c for c, kind in left.dtypes if "map<" not in kind and "variant" not in kind]
+    left = hot.salted(left, hot_on, F.pmod(F.xxhash64(*hashed), F.col("_fan")), "_salt")
+    copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_fan").cast("bigint") - 1))
+    other = hot.salted(other, [f"_r_{k}" for k in hot_on], copies, "_r_salt")
     pairs = [(F.col(k), F.col(f"_r_{k}")) for k in keys]
-    if hot:
-        splits = hot.skew.splits
-        row = F.pmod(F.xxhash64(*left.columns), F.lit(splits)).cast("int")
-        left = left.withColumn("_salt", F.when(hot.marks(hot_on), row).otherwise(F.lit(0)))
-        copies = F.sequence(F.lit(0), F.lit(splits - 1))
-        spread = F.when(hot.marks([f"_r_{k}" for k in hot_on]), copies).otherwise(F.array(F.lit(0)))
-        other = other.withColumn("_r_salt", F.explode(spread))
-        pairs.append((F.col("_salt"), F.col("_r_salt")))
-    match = reduce(and_, [a.eqNullSafe(b) if null_safe else a == b for a, b in pairs])
+    match = reduce(and_, [a.eqNullSafe(b) if null_safe else a == b for a, b in pairs], F.col("_salt") == F.col("_r_salt"))
     return left.join(other, match, how).drop("_salt", "_r_salt", *[f"_r_{k}" for k in keys])
 
 
@@ -109,16 +91,15 @@ def attach_totals(
     detail: DataFrame,
     on: Sequence[str] | str,
     totals: Mapping[str, Column],
-    hot: Hot = NO_HOT,
+    hot: Hot | None = None,
     hot_on: Sequence[str] | None = None,
+    *,
+    of: DataFrame | None = None,
 ) -> DataFrame:
     """Aggregates over all rows of a group next to every row; NULL keys are a group of their own.
 
-    A window as long as no group is hot, else pre-aggregated totals joined back.
+    ``of`` names rows with the same groups that are cheaper to add up than ``detail``, such as those it was made from.
     """
     keys = [on] if isinstance(on, str) else list(on)
-    if not hot:
-        window = Window.partitionBy(*keys)
-        return detail.select("*", *[c.over(window).alias(n) for n, c in totals.items()])
-    per_group = detail.groupBy(*keys).agg(*[c.alias(n) for n, c in totals.items()])
+    per_group = (detail if of is None else of).groupBy(*keys).agg(*[c.alias(n) for n, c in totals.items()])
     return salted_join(detail, per_group, keys, "left", hot=hot, hot_on=hot_on, null_safe=True)

@@ -19,7 +19,6 @@ from harborbook.operators.losses import (
     paid_amount,
     report_lag,
 )
-from harborbook.operators.lineage import settle
 from harborbook.operators.skew import Hot, attach_totals, salted_join
 from harborbook.plans.attributes import policy_attributes
 from harborbook.plans.exposures import (
@@ -165,12 +164,11 @@ def claim_exposures(book: Book, config: MartConfig, ledger: DataFrame, hot: dict
         "location_of_loss",
     )
     rows = month_end_rows(ledger, book.policies, columns, hot)
-    rows = settle(rows, "reported") if hot["claim"] else rows
-    # First report of the claim over all months; its shuffle by claim serves the totals per month as well.
-    rows = attach_totals(rows, "claim_id", {"rpt_date": F.min("date_submitted")}, hot["claim"])
     paid = {"claim_lvl_eval_paid": F.sum(paid_amount() * F.col("copies"))}
-    rows = open_closed_status(rows, "eval_date", RESERVES, claim_totals=paid, hot=hot)
-    return rows.select(
+    marked = open_closed_status(rows, "eval_date", RESERVES, claim_totals=paid, hot=hot)
+    # First report of the claim over all months.
+    marked = attach_totals(marked, "claim_id", {"rpt_date": F.min("date_submitted")}, hot["claim"], of=rows)
+    return marked.select(
         "eval_date",
         F.col("date").alias("eval_date_full"),
         "business_id",
@@ -224,7 +222,7 @@ def claim_development(book: Book, config: MartConfig) -> DataFrame:
     money = [c for c in CUMULATIVE if c not in COUNTS]
     types = {c: "decimal(15,2)" for c in money} | {c: "decimal(15,6)" for c in COUNTS if c.startswith("count_claim")}
     changes = {c: f"{c}_inc" for c in CUMULATIVE}
-    rows = increments_of_rows(rows, "exposure_id", "eval_date", ROW_TIES, changes, types, hot["exposure"])
+    rows = increments_of_rows(rows, "exposure_id", "eval_date", ROW_TIES, changes, types)
 
     attributes = policy_attributes(book, config, spine).select("policy_reference", *ATTRIBUTES)
     out = salted_join(rows, attributes, "policy_reference", "left", hot=hot["policy"])

@@ -11,7 +11,7 @@ from harborbook.functions.jsonfields import fill_defaults
 from harborbook.operators.calendars import month_spine
 from harborbook.operators.enrich import book_rows, company_metrics, hot_businesses
 from harborbook.operators.rating import customer_inception, policy_term, prior_term_pairs, rate_premium
-from harborbook.operators.skew import NO_HOT, Hot, salted_join
+from harborbook.operators.skew import Hot, salted_join
 from harborbook.plans.attributes import ALL_TRANS, bound_documents
 from harborbook.plans.catalogue import EQUIPMENT_LIMIT, RATE_CHANGE_FIELDS
 from harborbook.plans.exposures import named
@@ -51,7 +51,7 @@ CARRIED = {
 }
 
 
-def pricing_breakdown(book: Book, config: MartConfig, hot: Hot = NO_HOT) -> DataFrame:
+def pricing_breakdown(book: Book, config: MartConfig, hot: Hot | None = None) -> DataFrame:
     """Policies of the book with their term, rating factors and re-rated premium."""
     spine = month_spine(book.periods, config.start, config.through)
     rows = book_rows(book.snapshots, spine, config, ALL_TRANS, positive_term=True)

@@ -34,9 +34,9 @@ def test_query_equals_sql(spark, name):
 
 @pytest.mark.parametrize("name", list(registry.MARTS))
 def test_spread_plan_equals_sql(spark, book, name):
-    """Every claim, exposure, policy and business with 40 rows counts as hot."""
+    """Nearly every claim, exposure, policy and business counts as hot."""
     build, sql = registry.MARTS[name]
-    report = compare(build(book, replace(CONFIG, hot_rows=40, splits=3)), sql(), SF)
+    report = compare(build(book, replace(CONFIG, hot_parts=100_000)), sql(), SF)
     assert report["ok"], {k: v for k, v in report.items() if k != "sample"}
 
 
