@@ -1,8 +1,9 @@
 """Licence texts in documents: MinHash bands over overlapping windows retrieve templates, shingle containment decides.
 
-Windows are ``2 * BLOCK`` shingles long and begin at every ``BLOCK``-th.  Each of the ``BANDS`` bands is one minimum, so a
-window with a share j of its shingles in a window of a template is retrieved with probability 1 - (1 - j) ** BANDS: 0.9998
-for a single common shingle of 17, and more for every longer notice.
+Windows are ``2 * BLOCK`` shingles long and begin at every ``BLOCK``-th.  Each of the ``BANDS`` bands is one minimum, and its
+table leads from a minimum to the templates that hold it.  A window with a share j of its shingles in a template retrieves
+it with probability 1 - (1 - j) ** BANDS: 0.9997 for a single common shingle of 16, and more for every longer notice.  Only
+retrieved templates are compared, each with the windows that retrieved it.
 """
 
 from __future__ import annotations
@@ -173,17 +174,34 @@ class _Templates:
         self.names = [n for n, _ in variants]
         data = pa.array([v for _, v in variants], pa.string())
         self.sets: list[np.ndarray] = []
-        bands = [np.zeros(0, np.uint64)] * BANDS
         for _, body, starts in steps(data, 1 << 62):
             words, _, before, _ = bare_word_hashes(body, starts)
             if len(words) > MOST_WORDS:
                 raise ValueError(f"templates have {len(words)} words; {MOST_WORDS} are allowed")
             shingles, at, text = _shingled(words, before)
             self.sets = [np.unique(shingles[text == k]) for k in range(len(self.names))]
-            # A template may lie anywhere in a window, so each of its shingles may be the least one.
-            bands = [_order(shingles, k) for k in range(BANDS)]
-        self.bands = [np.unique(b) for b in bands]
-        self.all = np.unique(np.concatenate(self.sets)) if self.sets else np.zeros(0, np.uint64)
+        # A template may lie anywhere in a window, so each of its shingles may be the least one.
+        of = np.repeat(np.arange(len(self.sets)), np.array([len(x) for x in self.sets], np.int64))
+        shingles = np.concatenate([np.zeros(0, np.uint64), *self.sets])
+        self.bands = [_Band(_order(shingles, k), of) for k in range(BANDS)]
+
+
+class _Band:
+    """From a minimum to the numbers of the templates that have it."""
+
+    def __init__(self, minima: np.ndarray, templates: np.ndarray):
+        by = np.argsort(minima, kind="stable")
+        self.templates = templates[by].astype(np.int64)
+        self.values, self.start = np.unique(minima[by], return_index=True)
+        self.count = np.diff(np.append(self.start, len(by)))
+
+    def retrieve(self, minima: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position in ``minima``, template) for every template of every minimum."""
+        hit = np.flatnonzero(_member(minima, self.values))
+        slot = np.searchsorted(self.values, minima[hit])
+        n = self.count[slot]
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(hit, n), self.templates[np.repeat(self.start[slot], n) + inside]
 
 
 def _member(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -195,8 +213,8 @@ def _member(values: np.ndarray, known: np.ndarray) -> np.ndarray:
 def license_notices(docs: DataFrame, templates: Mapping[str, str | Sequence[str]] | None = None, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, license, containment, n_places, first_word, end_word): documents that hold a template.
 
-    A document holds a template if three quarters of the distinct five-word shingles of this stand in windows that the
-    bands retrieve (A-Z as a-z).  Signs at the edges of words, comment marks too, do not count.  Templates are those of
+    A document holds a template if three quarters of the distinct five-word shingles of this stand in windows that
+    retrieve it (A-Z as a-z).  Signs at the edges of words, comment marks too, do not count.  Templates are those of
     ``catalogue()`` if none are given; of the variants of one the best is reported, then the first.  ``n_places`` counts
     occurrences of its commonest shingle, the words (of all that the text has) are the first and the one after the last of
     its shingles.  Templates of fewer than five words, null and empty texts match nothing.  Null and repeated ids are
@@ -214,31 +232,36 @@ def license_notices(docs: DataFrame, templates: Mapping[str, str | Sequence[str]
                 if not len(shingles):
                     continue
                 first, follows = _blocks(at, of, before)
-                hit = np.zeros(len(first), bool)
+                pairs = np.zeros(0, np.int64)  # window * number of templates + template
                 for k in range(BANDS):
-                    hit |= _member(_window_minima(np.minimum.reduceat(_order(shingles, k), first), follows), table.bands[k])
-                opened = hit | np.append(False, hit[:-1] & follows[:-1])  # both blocks of a window
-                inside = np.flatnonzero(np.repeat(opened, np.diff(np.append(first, len(shingles)))))
-                inside = inside[_member(shingles[inside], table.all)]
-                if not len(inside):
+                    minima = _window_minima(np.minimum.reduceat(_order(shingles, k), first), follows)
+                    window, template = table.bands[k].retrieve(minima)
+                    pairs = np.union1d(pairs, window * len(table.names) + template)
+                if not len(pairs):
                     continue
-                edges = np.flatnonzero(np.diff(of[inside], prepend=-1))
-                for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(inside)], strict=True):
-                    mine, where, doc = shingles[inside[a:b]], at[inside[a:b]], int(of[inside[a]])
-                    best: dict[str, tuple] = {}
-                    for name, wanted in zip(table.names, table.sets, strict=True):
-                        if not len(wanted) or len(mine) < LEAST * len(wanted):
-                            continue
-                        here = _member(mine, wanted)
-                        if here.sum() < LEAST * len(wanted):
-                            continue
-                        kinds, counts = np.unique(mine[here], return_counts=True)
-                        share = len(kinds) / len(wanted)
-                        if len(kinds) >= LEAST * len(wanted) and (name not in best or share > best[name][2]):
-                            spot = where[here]
-                            first_word, last_word = (int(number[k] - words_before[doc]) for k in (spot[0], spot[-1] + WORDS - 1))
-                            best[name] = (row + doc, name, share, int(counts.max()), first_word, last_word + 1)
-                    out.extend(best.values())
+                window, template = np.divmod(pairs, len(table.names))
+                pairs = np.append(pairs, pairs[follows[window]] + len(table.names))  # both blocks of a window
+                block, template = np.divmod(np.unique(pairs), len(table.names))
+                by = np.lexsort((block, template, of[first[block]]))
+                block, template = block[by], template[by]
+                doc_of = of[first[block]]
+                ends = np.append(first[1:], len(shingles))
+                edges = np.flatnonzero((np.diff(template, prepend=-1) != 0) | (np.diff(doc_of, prepend=-1) != 0))
+                best: dict[tuple[int, str], tuple] = {}
+                for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(block)], strict=True):
+                    wanted, name, doc = table.sets[template[a]], table.names[template[a]], int(doc_of[a])
+                    n = ends[block[a:b]] - first[block[a:b]]
+                    if n.sum() < LEAST * len(wanted):
+                        continue
+                    inside = np.arange(n.sum()) + np.repeat(first[block[a:b]] - (np.cumsum(n) - n), n)
+                    inside = inside[_member(shingles[inside], wanted)]
+                    kinds, counts = np.unique(shingles[inside], return_counts=True)
+                    share = len(kinds) / len(wanted)
+                    if len(kinds) >= LEAST * len(wanted) and ((doc, name) not in best or share > best[doc, name][2]):
+                        spot = at[inside]
+                        first_word, last_word = (int(number[k] - words_before[doc]) for k in (spot[0], spot[-1] + WORDS - 1))
+                        best[doc, name] = (row + doc, name, share, int(counts.max()), first_word, last_word + 1)
+                out.extend(best.values())
             columns = [batch.column("id").take(pa.array([o[0] for o in out], pa.int64()))]
             kinds_ = (pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
             columns += [pa.array([o[k + 1] for o in out], t) for k, t in enumerate(kinds_)]

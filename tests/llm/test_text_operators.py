@@ -272,6 +272,47 @@ def test_groups_that_fit_stay_whole(spark):
     assert room == [0, 0, 0]
 
 
+def test_retrieved_licenses_are_those_of_exact_containment(spark):
+    """Templates that share passages, whole, cut, scattered and mixed in long texts, against sets of all shingles."""
+    pick = random.Random(11)
+
+    def words(n):
+        return [f"w{pick.randrange(400)}" for _ in range(n)]
+
+    shared = words(30)
+    known = {f"t{k}": words(n) for k, n in enumerate((5, 6, 9, 17, 40, 200, 900))}
+    known |= {"a": words(20) + shared, "b": shared + words(5), "c": shared}
+    texts = [[]]
+    for name in list(known) * 12:
+        body = known[name]
+        cut = body[: max(5, int(len(body) * pick.choice((0.6, 0.75, 0.8, 0.9, 1))))]
+        at = pick.randrange(len(cut) + 1)
+        texts.append(words(pick.randrange(60)) + cut[:at] + pick.choice(([], words(1), words(40))) + cut[at:] + words(pick.randrange(60)))
+    texts.append([w for body in known.values() for w in [*words(20), *body]])
+
+    def shingles(body):
+        return {tuple(body[k : k + 5]) for k in range(len(body) - 4)}
+
+    want = {}
+    for doc, body in enumerate(texts):
+        for name, template in known.items():
+            both, whole = shingles(body) & shingles(template), shingles(template)
+            if len(both) >= 0.75 * len(whole):
+                want[doc, name] = round(len(both) / len(whole), 9)
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    found = licenses.license_notices(docs, {n: " ".join(t) for n, t in known.items()}).collect()
+    assert {(r["doc_id"], r["license"]): round(r["containment"], 9) for r in found} == want
+    assert len(found) == len(want) > 60
+    assert licenses.license_notices(docs, {}).count() == 0
+
+
+def test_a_band_names_the_templates_of_a_minimum():
+    band = licenses._Band(np.array([7, 3, 7, 9], np.uint64), np.array([0, 0, 1, 2]))
+    where, template = band.retrieve(np.array([9, 1, 7, 3], np.uint64))
+    assert sorted(zip(where.tolist(), template.tolist(), strict=True)) == [(0, 2), (2, 0), (2, 1), (3, 0)]
+    assert band.retrieve(np.array([8], np.uint64))[0].size == 0
+
+
 def test_licenses_in_their_usual_forms(spark):
     known = licenses.catalogue()
     header = """
