@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +27,7 @@ from harborbook.plans.catalogue import (
     RATE_CHANGE_FIELDS,
     RATING_MASTER_FIELDS,
 )
-from harborbook.sources import Book, conform, from_parquet, write_mart
+from harborbook.sources import Book, conform, write_mart
 
 RAW = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -357,33 +358,67 @@ def _mentions(text: str, name: str) -> bool:
     return re.search(rf"\b{name}\b", text) is not None
 
 
-def spark_view(spark: SparkSession, sf_dir: str, name: str, written: dict[str, str] | None = None) -> DataFrame:
-    """One view as a DataFrame over the Parquet files; views in ``written`` are read from their path."""
+def spark_view(spark: SparkSession, sf_dir: str, name: str, written: dict[str, str] | None = None, tasks: int | None = None) -> DataFrame:
+    """One view as a DataFrame over the Parquet files; views in ``written`` are read from their path, policies by ``tasks`` tasks."""
     written = written or {}
     chain = [(n, text) for n, text in view_chain(name) if n == name or n not in written]
     used = " ".join(text for _, text in chain)
     files = {t: f"{sf_dir}/{t}.parquet" for t in RAW} | written
-    raw = [(t, f"SELECT * FROM parquet.`{path}`") for t, path in files.items() if t != name and _mentions(used, t)]
+    dealt = {"policy_keys": f"/*+ REPARTITION({tasks}) */ "} if tasks else {}
+    raw = [(t, f"SELECT {dealt.get(t, '')}* FROM parquet.`{path}`") for t, path in files.items() if t != name and _mentions(used, t)]
     steps = [f"{n} AS (\n{text}\n)" for n, text in [*raw, *chain]]
     return spark.sql("WITH " + ",\n".join(steps) + f"\nSELECT * FROM {name}")
 
 
-LARGE = ("claims_ledger", "snapshots", "rating", "quotes")
-_BOOKS: dict[tuple[str, str], Book] = {}
+#: Policies whose documents one task lays out.
+POLICIES_PER_TASK = 2_000
+DOCUMENTS = ("rating", "quotes")
+_BOOKS: dict[tuple[str, str], DerivedBook] = {}
 
 
-def load_book(spark: SparkSession, sf_dir: str) -> Book:
-    """The thirteen tables, derived once per application and written where every executor can read them."""
+class DerivedBook(Book):
+    """The thirteen tables; each is made by ``derive`` when it is first asked for."""
+
+    def __init__(self, derive: Callable[[str], DataFrame] | None = None, **tables: DataFrame):
+        vars(self).update(tables, _derive=derive)
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in LOGICAL:
+            raise AttributeError(name)
+        return vars(self).setdefault(name, vars(self)["_derive"](name))
+
+
+def deriver(spark: SparkSession, sf_dir: str) -> Callable[[str], DataFrame]:
+    """Derives a table and writes it where every executor can read it.
+
+    Documents are many times as long as the policy they are laid out for, so policies are dealt out, as many to a task at
+    every size, and not the documents.  The other tables are written by the tasks that read the given ones.
+    """
+    root = f"{shared_folder(spark)}/book-{uuid.uuid4().hex}"
+    written: dict[str, str] = {}
+
+    def write(name: str, tasks: int | None = None) -> None:
+        view = spark_view(spark, sf_dir, name, written, tasks)
+        write_mart(conform(view, name) if name in LOGICAL else view, f"{root}/{name}")
+        written[name] = f"{root}/{name}"
+
+    def derive(name: str) -> DataFrame:
+        tasks = None
+        if "policy_keys" in VIEWS[name][1]:
+            if "policy_keys" not in written:
+                write("policy_keys")
+            if name in DOCUMENTS:
+                policies = spark.read.parquet(written["policy_keys"]).count()
+                tasks = max(spark.sparkContext.defaultParallelism, -(-policies // POLICIES_PER_TASK))
+        write(name, tasks)
+        return conform(spark.read.parquet(written[name]), name)
+
+    return derive
+
+
+def load_book(spark: SparkSession, sf_dir: str) -> DerivedBook:
+    """The thirteen tables, one book per application."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _BOOKS:
-        root = f"{shared_folder(spark)}/book-{uuid.uuid4().hex}"
-        written: dict[str, str] = {}
-        for name in ("policy_keys", *LOGICAL):
-            view = spark_view(spark, sf_dir, name, written)
-            view = conform(view, name) if name in LOGICAL else view
-            # Large views come out of few input splits; several files let every core read.
-            view = view.repartition(spark.sparkContext.defaultParallelism) if name in LARGE else view
-            write_mart(view, f"{root}/{name}")
-            written[name] = f"{root}/{name}"
-        _BOOKS[key] = from_parquet(spark, root)
+        _BOOKS[key] = DerivedBook(deriver(spark, sf_dir))
     return _BOOKS[key]
