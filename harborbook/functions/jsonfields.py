@@ -226,7 +226,9 @@ def json_problems(df: DataFrame, fields: Iterable[JsonField], keys: Iterable[str
         text = parsed.texts[f.name]
         entries.append(entry(f.source, f.name, "number", text, f"{text} IS NOT NULL AND TRY_CAST({text} AS {f.dtype}) IS NULL"))
     found = parsed.rows.select(*keys, F.expr(f"filter(array({', '.join(entries)}), p -> p IS NOT NULL)").alias("_found"))
-    return found.select(*keys, F.inline("_found"))
+    # Not ``inline``: from that Spark derives a filter on the list below the parse, which then runs again for every use.
+    listed = found.select(*keys, F.explode_outer("_found").alias("_problem")).where(F.col("_problem").isNotNull())
+    return listed.select(*keys, "_problem.source", "_problem.field", "_problem.problem", "_problem.found")
 
 
 def fill_defaults(df: DataFrame, fields: Iterable[JsonField]) -> DataFrame:

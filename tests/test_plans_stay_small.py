@@ -50,3 +50,10 @@ def test_hot_keys_of_a_mart_are_a_written_table(spark):
 def test_fractional_claim_counts_reads_the_ledger_a_few_times(spark):
     df = QUERIES["fractional_claim_counts"][0](spark, SF)
     assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= 120
+
+
+def test_problems_are_listed_with_one_parse_per_document(spark):
+    """Also below the list of problems no step parses the documents again."""
+    plan = QUERIES["problems_of_nested_documents"][0](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 2  # the document and its sub-document
+    assert plan.count("get_json_object(") == 2
