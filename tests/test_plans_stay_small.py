@@ -2,9 +2,11 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from checks.operator_queries import QUERIES
+from checks.views import load_book
 from harborbook.operators.losses import fractional_counts, open_closed_status
 from harborbook.operators.skew import find_hot_keys
 
@@ -57,3 +59,30 @@ def test_problems_are_listed_with_one_parse_per_document(spark):
     plan = QUERIES["problems_of_nested_documents"][0](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json(") == 2  # the document and its sub-document
     assert plan.count("get_json_object(") == 2
+
+
+def shuffled(df):
+    """Bytes that the shuffles of a query write; the query is run."""
+    df.collect()
+    total, nodes = 0, [df._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            nodes.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            nodes.append(node.plan())
+        elif kind != "ReusedExchangeExec":
+            metrics = node.metrics()
+            if metrics.contains("shuffleBytesWritten"):
+                total += metrics.apply("shuffleBytesWritten").value()
+            nodes.extend(node.children().apply(k) for k in range(node.children().size()))
+    return total
+
+
+@pytest.mark.parametrize("name", ["claims_rolled_up", "losses_by_coverage_and_cause", "policy_losses_by_month"])
+def test_rows_of_a_claim_are_moved_once(spark, name):
+    """Statuses come to the rows, and what follows is done where they lie; the rows of a ledger move two to three times at most."""
+    ledger = load_book(spark, SF).claims_ledger
+    once = shuffled(ledger.repartition(4, "claim_id"))
+    assert 0 < shuffled(QUERIES[name][0](spark, SF)) < 4 * once
