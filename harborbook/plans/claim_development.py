@@ -2,33 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from harborbook.config import NON_CAT_CODES_CLAIMS, NON_CAT_FRAGMENTS_CLAIMS, MartConfig
 from harborbook.operators.calendars import month_spine
 from harborbook.operators.crime import CRIMES
-from harborbook.operators.flows import increments_of_rows
+from harborbook.operators.flows import increments, increments_of_rows
+from harborbook.operators.lineage import settle
 from harborbook.operators.losses import (
     RESERVES,
     cat_flag,
-    fractional_counts,
     loss_measures,
     non_cat,
-    open_closed_status,
     paid_amount,
     report_lag,
+    with_shares,
 )
 from harborbook.operators.skew import Hot, attach_totals, salted_join
 from harborbook.plans.attributes import policy_attributes
 from harborbook.plans.exposures import (
+    beside_claims,
     book_ledger,
     claim_identity,
     hot_in_ledger,
-    month_end_rows,
     named,
+    open_in_month,
     periods,
     policy_dates,
+    policy_ids,
+    with_statuses,
 )
 from harborbook.sources import Book
 
@@ -150,40 +153,19 @@ ROW_TIES = (
 )
 
 
-def claim_exposures(book: Book, config: MartConfig, ledger: DataFrame, hot: dict[str, Hot]) -> DataFrame:
-    """Distinct exposure rows per month end with amounts, status and report lag."""
-    columns = (
-        "business_id",
-        "coverage",
-        "loss_cause_type_name",
-        "marketing_cob_group",
-        "cob_name",
-        "business_state",
-        "in_suit_flag",
-        "attorney_authorized_representative_flag",
-        "location_of_loss",
-    )
-    rows = month_end_rows(ledger, book.policies, columns, hot)
-    paid = {"claim_lvl_eval_paid": F.sum(paid_amount() * F.col("copies"))}
-    marked = open_closed_status(rows, "eval_date", RESERVES, claim_totals=paid, hot=hot)
-    # First report of the claim over all months.
-    marked = attach_totals(marked, "claim_id", {"rpt_date": F.min("date_submitted")}, hot["claim"], of=rows)
-    return marked.select(
+def _exposure_rows(book: Book, config: MartConfig, ledger: DataFrame, hot: dict[str, Hot]) -> tuple[DataFrame, DataFrame]:
+    """Distinct exposure rows per month end with amounts, status and report lag: of claims that fit into a task, and of others."""
+    rows = ledger.select(
         "eval_date",
         F.col("date").alias("eval_date_full"),
         "business_id",
         "policy_reference",
-        "policy_id",
         "tpa_name",
         *named(claim_identity(config)),
         "exposure_number",
         "exposure_id",
         *named(policy_dates()),
-        "rpt_date",
         *named(loss_measures()),
-        "claim_status",
-        "exposure_status",
-        F.col("claim_lvl_eval_paid").cast("decimal(28,2)").alias("claim_lvl_eval_paid"),
         cat_flag("catastrophe_code", NON_CAT_CODES_CLAIMS, NON_CAT_FRAGMENTS_CLAIMS).alias("cat_ind"),
         "coverage",
         "loss_cause_type_name",
@@ -193,39 +175,78 @@ def claim_exposures(book: Book, config: MartConfig, ledger: DataFrame, hot: dict
         "in_suit_flag",
         "attorney_authorized_representative_flag",
         "location_of_loss",
-    ).distinct().withColumns(
-        # These follow from distinct columns.
-        {
-            "rpt_lag": report_lag("acc_date", "rpt_date"),
-            "rpt_lag_capped": report_lag("acc_date", "rpt_date", REPORT_LAG_CAP),
-            "eff_period": periods()["eff_period"],
-            "acc_period": periods()["acc_period"],
-            "eval_date_trunc": F.trunc("eval_date_full", "month"),
-        }
+        F.col("claim_id").alias("_claim"),
     )
+    open_found = open_in_month(ledger, book.policies, RESERVES, hot, {"claim_lvl_eval_paid": paid_amount()})
+    # Written, as the counts read these rows several times and their plan would be in each.
+    claims, exposures = [settle(x, "open") for x in open_found]
+    # First report of the claim over all months.
+    reports = ledger.groupBy(F.col("claim_id").alias("_claim")).agg(F.min("date_submitted").alias("rpt_date"))
+    found = [(claims, ["_claim", "eval_date"]), (exposures, ["exposure_id", "eval_date"]), (reports, ["_claim"])]
+
+    def finished(df: DataFrame) -> DataFrame:
+        paid = F.coalesce("claim_lvl_eval_paid", F.lit(0)).cast("decimal(28,2)")
+        distinct = with_statuses(df).withColumn("claim_lvl_eval_paid", paid).distinct()
+        # Each policy id of the reference has the rows, and the rest follows from distinct columns.
+        distinct = salted_join(distinct, policy_ids(book.policies), "policy_reference", "left", hot=hot["policy"])
+        return distinct.withColumns(
+            {
+                "rpt_lag": report_lag("acc_date", "rpt_date"),
+                "rpt_lag_capped": report_lag("acc_date", "rpt_date", REPORT_LAG_CAP),
+                "eff_period": periods()["eff_period"],
+                "acc_period": periods()["acc_period"],
+                "eval_date_trunc": F.trunc("eval_date_full", "month"),
+            }
+        )
+
+    small, large = beside_claims(rows, ledger, config, hot, ["claim_id"], found)
+    return finished(small), finished(large)
+
+
+def claim_exposures(book: Book, config: MartConfig, ledger: DataFrame, hot: dict[str, Hot]) -> DataFrame:
+    """Distinct exposure rows per month end with amounts, status and report lag."""
+    small, large = _exposure_rows(book, config, ledger, hot)
+    return small.unionByName(large)
 
 
 def claim_development(book: Book, config: MartConfig) -> DataFrame:
     """Cumulative amounts, counts and their changes per exposure and month, with policy attributes.
 
     Attributes are one row per policy reference, so they change no count; they are joined last and the
-    wide columns take no part in the earlier shuffles.
+    wide columns take no part in the earlier shuffles.  Rows are moved to their claims and to their exposures once each; claims
+    and exposures with very many rows are dealt out.
     """
     spine = month_spine(book.periods, config.start, config.through)
     ledger = book_ledger(book.claims_ledger, spine, config)
     hot = hot_in_ledger(ledger, config)
+    counted = F.count("exposure_id")
 
-    rows = claim_exposures(book, config, ledger, hot).where(F.col("eval_date") >= F.col("eff_period"))
-    rows = fractional_counts(rows, "eval_date", hot | {"claim": hot["trimmed"]})
-    rows = rows.withColumn("incurred_non_cat", non_cat("incurred")).withColumn("paid_non_cat", non_cat("paid"))
+    small, large = [x.where(F.col("eval_date") >= F.col("eff_period")) for x in _exposure_rows(book, config, ledger, hot)]
+    small = small.withColumn("_n_claim", counted.over(Window.partitionBy("claim_id", "eval_date")))
+    large = attach_totals(large, ["claim_id", "eval_date"], {"_n_claim": counted}, hot["trimmed"], ["claim_id"])
+    rows = small.unionByName(large)
 
     money = [c for c in CUMULATIVE if c not in COUNTS]
     types = {c: "decimal(15,2)" for c in money} | {c: "decimal(15,6)" for c in COUNTS if c.startswith("count_claim")}
     changes = {c: f"{c}_inc" for c in CUMULATIVE}
-    rows = increments_of_rows(rows, "exposure_id", "eval_date", ROW_TIES, changes, types)
+
+    def of_large(how: str) -> DataFrame:
+        fans = F.broadcast(hot["exposure"].fans.select("_hash"))  # fewer than ``parts`` rows
+        return rows.withColumn("_hash", F.xxhash64("exposure_id")).join(fans, "_hash", how).drop("_hash")
+
+    def with_counts(df: DataFrame) -> DataFrame:
+        return with_shares(df).withColumns({"incurred_non_cat": non_cat("incurred"), "paid_non_cat": non_cat("paid")})
+
+    month = Window.partitionBy("exposure_id", "eval_date")
+    out = with_counts(of_large("left_anti").repartition("exposure_id").withColumn("_n_exposure", counted.over(month)))
+    out = increments(out, "exposure_id", ["eval_date", *ROW_TIES], changes, types)
+    # The counts are written already, and without large exposures there are no ranges to write.
+    if not hot["exposure"].fans.isEmpty():
+        dealt = attach_totals(of_large("inner"), ["exposure_id", "eval_date"], {"_n_exposure": counted}, hot["exposure"], ["exposure_id"])
+        out = out.unionByName(increments_of_rows(with_counts(dealt), "exposure_id", "eval_date", ROW_TIES, changes, types))
 
     attributes = policy_attributes(book, config, spine).select("policy_reference", *ATTRIBUTES)
-    out = salted_join(rows, attributes, "policy_reference", "left", hot=hot["policy"])
+    out = salted_join(out, attributes, "policy_reference", "left", hot=hot["policy"])
     return out.select(
         *EXPOSURE_COLUMNS, *ATTRIBUTES, "incurred_non_cat", "paid_non_cat", *COUNTS, *changes.values()
     )

@@ -86,3 +86,9 @@ def test_rows_of_a_claim_are_moved_once(spark, name):
     ledger = load_book(spark, SF).claims_ledger
     once = shuffled(ledger.repartition(4, "claim_id"))
     assert 0 < shuffled(QUERIES[name][0](spark, SF)) < 4 * once
+
+
+def test_rows_of_claim_development_move_to_claims_and_exposures(spark):
+    ledger = load_book(spark, SF).claims_ledger
+    once = shuffled(ledger.repartition(4, "claim_id"))
+    assert 0 < shuffled(QUERIES["fractional_claim_counts"][0](spark, SF)) < 8 * once
