@@ -5,7 +5,10 @@
    shingles that very many documents have come last, others by their hash; so a passage that is everywhere brings
    nobody together.  The shared shingles of these prefixes are the tokens.
 3. Similar nodes are partitioned into groups: nodes are compared with the least and the greatest node of each of their
-   tokens, and what links makes a component, cut into groups of about ``GROUP`` nodes.
+   tokens, and what links makes a component.  While tokens with more nodes than a group would bring together many more
+   pairs of nodes of different components than there are tokens, and fewer of them each time, their nodes are compared
+   with a few others of the largest component of the token, and components grow.  They are cut into groups of about
+   ``GROUP`` nodes.
 4. The matrix has a row (token, group) for each token that stands in several components.  Through it, every node of the
    smaller component queries the groups of the other ones.  The number of tokens they share and the sizes bound the
    overlap; so does, for groups that are left, the union of their sets.  Only groups that may hold a link are opened
@@ -34,6 +37,9 @@ WORDS, PERCENT, GROUP = 5, 75, 48
 #: order of shingles depends on this, not the result.
 COMMON, IN_BATCH, IN_ALL = 200_000, 6, 24
 LAST = 2**40
+#: A node of crowded tokens is compared with so many nodes at most in a turn; crowds are left to the matrix once they hold so many pairs
+#: for each token of a node, or a turn leaves more than this share of them.  The result does not depend on these.
+PICKS, PAIRS, LEFT = 8, 16, 0.75
 #: Bits of the filter that picks the texts whose sets are wanted, before the exact join.
 BITS = 1 << 23
 
@@ -213,6 +219,39 @@ def only_wanted(df: DataFrame, key: str, wanted: DataFrame, *, others: bool = Fa
     return slotted.mapInArrow(some, df.schema)
 
 
+def _settle_crowds(crowd: DataFrame, base: DataFrame, links: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """More links, and the components of all, by comparing nodes of crowded tokens (token, node, n, tokens) with few others.
+
+    A large group of near copies, each linked with a part of the others, is nearly one component after a few turns of
+    comparisons in proportion to its nodes; the matrix would compare the rest of its nodes with all of that component.
+    Nodes with the most crowded ``tokens`` were changed least and are linked with most others, so they come first.
+    Ends when crowded tokens hold ``most`` pairs of nodes of different components or fewer, or a turn changed little.
+    """
+    turn, pairs_before, settled = 0, None, components(links)
+    while True:
+        sizes = settled.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+        in_crowd = crowd.join(settled, "node", "left").withColumn("label", F.coalesce("label", "node")).join(sizes, "label", "left")
+        in_crowd = written(in_crowd.select("token", "node", "n", "tokens", "label", F.coalesce("size", F.lit(1)).alias("size")), "crowd")
+        of_token = in_crowd.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.sum("k").alias("k"), F.max("k").alias("top"))
+        pairs_now = of_token.agg(F.sum(F.expr("cast(k AS double) * (k - top)"))).first()[0] or 0
+        if pairs_now <= most or (pairs_before is not None and pairs_now > LEFT * pairs_before):
+            drop(in_crowd)
+            return links, settled
+        by_size = Window.partitionBy("token").orderBy(F.desc("size"), F.desc("tokens"), F.xxhash64("node"), "node")
+        picked = in_crowd.withColumn("at", F.row_number().over(by_size)).where((F.col("at") <= PICKS * (turn + 1)) & (F.col("at") > PICKS * turn))
+        picked = picked.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("to_label"))
+        pairs = in_crowd.join(picked.hint("merge"), "token").where("label != to_label")
+        pairs = pairs.groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("na"), F.first("nb").alias("nb"))
+        pairs = pairs.where("na IS NULL OR nb IS NULL OR 4 * least(na, nb) >= 3 * greatest(na, nb)")
+        by_shared = Window.partitionBy("a").orderBy(F.desc("c"), "b")
+        pairs = pairs.withColumn("at", F.row_number().over(by_shared)).where(F.col("at") <= PICKS)
+        pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        sets = written(_wanted_sets(base, pairs.select(F.explode(F.array("a", "b")).alias("node"))), "sets")
+        more = written(links.union(_compare(pairs, sets)), "links")
+        drop(pairs, sets, links, settled, in_crowd)
+        turn, pairs_before, links, settled = turn + 1, pairs_now, more, components(more)
+
+
 def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row.
 
@@ -246,10 +285,11 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     # One shuffle by token: the ends of a token, and after most tokens are gone, its nodes once each.
     of_token = Window.partitionBy("token")
     rare = rare.withColumn("low", F.min("node").over(of_token)).withColumn("high", F.max("node").over(of_token))
-    rare = rare.where("low != high").groupBy("token", "node").agg(F.first("low").alias("low"), F.first("high").alias("high"))
+    rare = rare.withColumn("held", F.count(F.lit(1)).over(of_token)).where("low != high")
+    rare = rare.groupBy("token", "node").agg(*[F.first(c).alias(c) for c in ("low", "high", "held")])
     many = tokens.join(F.broadcast(late), "token").distinct()
-    ends = many.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high")
-    many = many.join(F.broadcast(ends), "token").select("token", "node", "low", "high")
+    ends = many.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("held"))
+    many = many.join(F.broadcast(ends.where("low != high")), "token").select("token", "node", "low", "high", "held")
     postings = written(rare.union(many), "postings")
 
     # An id with several texts has no one size; nothing is concluded from it then.
@@ -267,7 +307,11 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     sets = written(_wanted_sets(base, pairs.select(F.explode(F.array("a", "b")).alias("node"))), "sets")
     links = written(_compare(pairs, sets), "links")
     drop(pairs, sets)
-    settled = components(links)
+    crowd = postings.where(F.col("held") > GROUP).select("token", "node")
+    crowd = crowd.join(crowd.groupBy("node").agg(F.count(F.lit(1)).alias("tokens")).hint("merge"), "node")
+    crowd = written(crowd.join(shared.hint("merge"), "node"), "crowd")
+    links, settled = _settle_crowds(crowd, base, links, PAIRS * postings.count())
+    drop(crowd)
 
     labels = shared.join(settled, "node", "left").withColumn("label", F.coalesce("label", "node"))
     counts = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))

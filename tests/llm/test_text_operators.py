@@ -12,6 +12,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from harborbook.llm import bpe, contamination, jaccard, language, licenses, lines, quality, queries, shards, sketches, suffixes
+from harborbook.llm.tables import written
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -433,3 +434,32 @@ def test_empty_sets_are_linked_with_nothing():
     columns = {"a": [1, 2, 3], "b": [4, 5, 6], "x": [one, none, none], "y": [one, none, one]}
     pairs = pa.RecordBatch.from_pydict(columns, pa.schema([("a", pa.int64()), ("b", pa.int64()), ("x", pa.binary()), ("y", pa.binary())]))
     assert [b.to_pydict() for b in jaccard._linked([pairs])] == [{"a": [1], "b": [4]}]
+
+
+def test_large_groups_of_near_copies_are_not_compared_pair_by_pair(spark, monkeypatch):
+    rng = random.Random(5)
+    base = ["".join(rng.choices("abcdefgh", k=7)) for _ in range(150)]
+    rows = []
+    for k in range(300):  # three changes: linked only with the few that have one; two of them are not linked
+        words = list(base)
+        for at in rng.sample(range(150), rng.choices((1, 2, 3), (1, 7, 12))[0]):
+            words[at] = f"w{k}x{at}"
+        rows.append((k, " ".join(words)))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    expected = list(range(len(rows)))
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    while any(expected[a] != expected[b] for a, b in pairs):
+        for a, b in pairs:
+            expected[a] = expected[b] = min(expected[a], expected[b])
+    compared = []
+
+    def count_pairs(df, name):
+        out = written(df, name)
+        compared.extend([out.count()] if name == "pairs" else [])
+        return out
+
+    monkeypatch.setattr(jaccard, "written", count_pairs)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    out = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(docs).collect()}
+    assert [out[k] for k in range(len(rows))] == expected
+    assert len(pairs) > 10 * len(rows) and sum(compared) < 25 * len(rows)
