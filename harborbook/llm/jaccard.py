@@ -5,10 +5,10 @@
    shingles that very many documents have come last, others by their hash; so a passage that is everywhere brings
    nobody together.  The shared shingles of these prefixes are the tokens.
 3. Similar nodes are partitioned into groups: nodes are compared with the least and the greatest node of each of their
-   tokens, and what links makes a component.  While tokens with more nodes than a group would bring together many more
-   pairs of nodes of different components than there are tokens, and fewer of them each time, their nodes are compared
-   with a few others of the largest component of the token, and components grow.  They are cut into groups of about
-   ``GROUP`` nodes.
+   tokens, and what links makes a component.  Where tokens with more nodes than a group would bring together many more
+   pairs than there are tokens, their nodes are at once compared with a few others of the token too.  While that many
+   pairs of nodes of different components are left, and fewer of them each time, they are compared with a few others of
+   the largest component of the token, and components grow.  They are cut into groups of about ``GROUP`` nodes.
 4. The matrix has a row (token, group) for each token that stands in several components.  Through it, every node of the
    smaller component queries the groups of the other ones.  The number of tokens they share and the sizes bound the
    overlap; so does, for groups that are left, the union of their sets.  Only groups that may hold a link are opened
@@ -40,6 +40,8 @@ LAST = 2**40
 #: A node of crowded tokens is compared with so many nodes at most in a turn; crowds are left to the matrix once they hold so many pairs
 #: for each token of a node, or a turn leaves more than this share of them.  The result does not depend on these.
 PICKS, PAIRS, LEFT = 8, 16, 0.75
+#: Pairs, each for every token it shares, that the matrix settles sooner than the dozen small jobs of one more turn.
+WORTH_A_TURN = 1 << 24
 #: Bits of the filter that picks the texts whose sets are wanted, before the exact join.
 BITS = 1 << 23
 
@@ -162,7 +164,7 @@ def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(p) and len(q) and 100 * int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum()) >= PERCENT * len(p):
                 keep.append(k)
         rows = pa.array(keep, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(c).take(rows) for c in ("a", "label", "chunk")], names=["a", "label", "chunk"])
+        yield batch.select(["a", "na", "label", "chunk"]).take(rows)
 
 
 def _union(key, rows):
@@ -219,33 +221,52 @@ def only_wanted(df: DataFrame, key: str, wanted: DataFrame, *, others: bool = Fa
     return slotted.mapInArrow(some, df.schema)
 
 
-def _settle_crowds(crowd: DataFrame, base: DataFrame, links: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+def _end_pairs(postings: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Pairs (a < b) of a node and the least or the greatest node of its tokens that share enough tokens as such to be linked."""
+    lows = postings.select(F.col("low").alias("a"), F.col("node").alias("b"), F.lit(1).alias("as_low"), F.lit(0).alias("as_high"))
+    highs = postings.select(F.col("node").alias("a"), F.col("high").alias("b"), F.lit(0).alias("as_low"), F.lit(1).alias("as_high"))
+    ends = lows.union(highs).where("a != b").groupBy("a", "b").agg(F.greatest(F.sum("as_low"), F.sum("as_high")).alias("c"))
+    x, y = sizes.toDF("a", "na"), sizes.toDF("b", "nb")
+    may_link = f"na IS NULL OR nb IS NULL OR (4 * least(na, nb) >= 3 * greatest(na, nb) AND c >= {_needed('na', 'nb')})"
+    return ends.join(x.hint("merge"), "a").join(y.hint("merge"), "b").where(may_link).select("a", "b")
+
+
+def _picked_pairs(in_crowd: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a < b, some of them twice) of nodes of crowded tokens (token, node, n, tokens, label, size) and a few of other
+    components, out of the largest component of the token first.
+
+    Nodes with the most crowded ``tokens`` were changed least and are linked with most others, so they come first.
+    """
+    by_size = Window.partitionBy("token").orderBy(F.desc("size"), F.desc("tokens"), F.xxhash64("node"), "node")
+    picked = in_crowd.withColumn("at", F.row_number().over(by_size)).where((F.col("at") <= PICKS * (turn + 1)) & (F.col("at") > PICKS * turn))
+    picked = picked.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("to_label"))
+    pairs = in_crowd.join(picked.hint("merge"), "token").where("label != to_label")
+    pairs = pairs.groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("na"), F.first("nb").alias("nb"))
+    pairs = pairs.where("na IS NULL OR nb IS NULL OR 4 * least(na, nb) >= 3 * greatest(na, nb)")
+    by_shared = Window.partitionBy("a").orderBy(F.desc("c"), "b")
+    pairs = pairs.withColumn("at", F.row_number().over(by_shared)).where(F.col("at") <= PICKS)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _settle_crowds(crowd: DataFrame, base: DataFrame, links: DataFrame, pairs_before: float, most: int) -> tuple[DataFrame, DataFrame]:
     """More links, and the components of all, by comparing nodes of crowded tokens (token, node, n, tokens) with few others.
 
     A large group of near copies, each linked with a part of the others, is nearly one component after a few turns of
     comparisons in proportion to its nodes; the matrix would compare the rest of its nodes with all of that component.
-    Nodes with the most crowded ``tokens`` were changed least and are linked with most others, so they come first.
-    Ends when crowded tokens hold ``most`` pairs of nodes of different components or fewer, or a turn changed little.
+    The first turn is over: there were ``pairs_before`` pairs of nodes of crowded tokens then.  Ends when there are
+    ``most`` pairs of nodes of different components or fewer, too few to be worth a turn, or a turn changed little.
     """
-    turn, pairs_before, settled = 0, None, components(links)
+    turn, settled = 1, components(links)
     while True:
         sizes = settled.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
         in_crowd = crowd.join(settled, "node", "left").withColumn("label", F.coalesce("label", "node")).join(sizes, "label", "left")
         in_crowd = written(in_crowd.select("token", "node", "n", "tokens", "label", F.coalesce("size", F.lit(1)).alias("size")), "crowd")
         of_token = in_crowd.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.sum("k").alias("k"), F.max("k").alias("top"))
         pairs_now = of_token.agg(F.sum(F.expr("cast(k AS double) * (k - top)"))).first()[0] or 0
-        if pairs_now <= most or (pairs_before is not None and pairs_now > LEFT * pairs_before):
+        if pairs_now <= max(most, WORTH_A_TURN) or pairs_now > LEFT * pairs_before:
             drop(in_crowd)
             return links, settled
-        by_size = Window.partitionBy("token").orderBy(F.desc("size"), F.desc("tokens"), F.xxhash64("node"), "node")
-        picked = in_crowd.withColumn("at", F.row_number().over(by_size)).where((F.col("at") <= PICKS * (turn + 1)) & (F.col("at") > PICKS * turn))
-        picked = picked.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("to_label"))
-        pairs = in_crowd.join(picked.hint("merge"), "token").where("label != to_label")
-        pairs = pairs.groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("na"), F.first("nb").alias("nb"))
-        pairs = pairs.where("na IS NULL OR nb IS NULL OR 4 * least(na, nb) >= 3 * greatest(na, nb)")
-        by_shared = Window.partitionBy("a").orderBy(F.desc("c"), "b")
-        pairs = pairs.withColumn("at", F.row_number().over(by_shared)).where(F.col("at") <= PICKS)
-        pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        pairs = written(_picked_pairs(in_crowd, turn).distinct(), "pairs")
         sets = written(_wanted_sets(base, pairs.select(F.explode(F.array("a", "b")).alias("node"))), "sets")
         more = written(links.union(_compare(pairs, sets)), "links")
         drop(pairs, sets, links, settled, in_crowd)
@@ -297,31 +318,32 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     sizes = sizes.select("node", F.when(F.col("n") == F.col("most"), F.col("n")).alias("n"))
     shared = postings.select("node").distinct().join(sizes, "node")
     shared = written(shared, "nodes")
-    x, y = shared.toDF("a", "na"), shared.toDF("b", "nb")
-    may_link = f"na IS NULL OR nb IS NULL OR (4 * least(na, nb) >= 3 * greatest(na, nb) AND c >= {_needed('na', 'nb')})"
-
-    ends = postings.select(F.col("node").alias("a"), F.col("low").alias("b")).where("a != b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
-    tops = postings.select(F.col("node").alias("a"), F.col("high").alias("b")).where("a != b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
-    pairs = ends.union(tops).join(x.hint("merge"), "a").join(y.hint("merge"), "b").where(may_link)
-    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    held = postings.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.expr(f"if(held > {GROUP}, cast(held AS double), 0)")).alias("pairs")).first()
+    most, crowded = PAIRS * held["rows"], (held["pairs"] or 0) > PAIRS * held["rows"]
+    pairs = _end_pairs(postings, shared)
+    if crowded:
+        crowd = postings.where(F.col("held") > GROUP).select("token", "node")
+        crowd = crowd.withColumn("tokens", F.count(F.lit(1)).over(Window.partitionBy("node")))
+        crowd = written(crowd.join(shared.hint("merge"), "node"), "crowd")
+        alone = crowd.withColumns({"label": F.col("node"), "size": F.lit(1)})
+        pairs = pairs.union(_picked_pairs(alone, 0)).distinct()
+    pairs = written(pairs, "pairs")
     sets = written(_wanted_sets(base, pairs.select(F.explode(F.array("a", "b")).alias("node"))), "sets")
     links = written(_compare(pairs, sets), "links")
     drop(pairs, sets)
-    crowd = postings.where(F.col("held") > GROUP).select("token", "node")
-    crowd = crowd.join(crowd.groupBy("node").agg(F.count(F.lit(1)).alias("tokens")).hint("merge"), "node")
-    crowd = written(crowd.join(shared.hint("merge"), "node"), "crowd")
-    links, settled = _settle_crowds(crowd, base, links, PAIRS * postings.count())
-    drop(crowd)
-
-    labels = shared.join(settled, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    counts = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    counts = written(counts.where("size > 1"), "sizes")
-    labels = labels.join(counts, "label", "left").withColumn("size", F.coalesce("size", F.lit(1)))
-    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / GROUP))
-    labels = written(labels.select("node", "n", "label", "size", chunk.alias("chunk")), "nodes")
-    groups = labels.groupBy("label", "chunk").agg(F.min(F.coalesce("n", F.lit(0))).alias("low"), F.max(F.coalesce("n", F.lit(LAST))).alias("high"))
-    chunked, labels = labels, written(labels.join(groups, ["label", "chunk"]), "groups")
-    drop(shared, counts, settled, chunked)
+    if crowded:
+        links, settled = _settle_crowds(crowd, base, links, held["pairs"], most)
+        drop(crowd)
+    else:
+        settled = components(links)
+
+    sized = settled.join(settled.groupBy("label").agg(F.count(F.lit(1)).alias("size")), "label")
+    labels = shared.join(sized, "node", "left").withColumn("label", F.coalesce("label", "node")).withColumn("size", F.coalesce("size", F.lit(1)))
+    labels = labels.withColumn("chunk", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / GROUP)))
+    of_group = Window.partitionBy("label", "chunk")  # about GROUP nodes
+    low, high = F.min(F.coalesce("n", F.lit(0))).over(of_group), F.max(F.coalesce("n", F.lit(LAST))).over(of_group)
+    labels = written(labels.withColumns({"low": low, "high": high}), "groups")
+    drop(shared, links)
 
     marked = postings.select("token", "node").join(labels.hint("merge"), "node")
     apart = marked.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("token")
@@ -329,7 +351,7 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     marked = written(marked.join(apart.hint("merge"), "token", "left_semi"), "marked")
     drop(apart, postings)
     to = [F.col(c).alias(f"to_{c}") for c in ("label", "size", "chunk", "low", "high")]
-    matrix = written(marked.select("token", *to).distinct(), "matrix")
+    matrix = marked.select("token", *to).distinct()
     queries = marked.select("token", "node", "n", "label", "size").join(matrix.hint("merge"), "token")
     queries = queries.where("struct(size, label) < struct(to_size, to_label)")
     # Sizes alone rule out most groups, before anything is counted and shuffled.
@@ -340,28 +362,29 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     bound = f"n IS NULL OR (low <= high AND c >= {_least_needed('n', 'low', 'high')})"
     queries = written(near.where(bound).select("a", F.col("n").alias("na"), "label", "chunk"), "queries")
 
-    drop(marked, matrix)
+    drop(marked)
     asked = labels.select("label", "chunk", "node", "n").join(queries.select("label", "chunk").distinct(), ["label", "chunk"], "left_semi")
     asked = written(asked, "asked")
     sets = written(_wanted_sets(base, asked.select("node").union(queries.select("a"))), "sets")
     halves = sets.mapInArrow(_halves, "node bigint, half binary")
     unions = asked.hint("merge").join(halves, "node").select("label", "chunk", "half").groupBy("label", "chunk").applyInArrow(_union, "label bigint, chunk bigint, union binary")
     asking = queries.hint("merge").join(halves.select(F.col("node").alias("a"), F.col("half").alias("x")), "a")
-    opened = written(asking.join(unions.hint("merge"), ["label", "chunk"]).mapInArrow(_open, "a bigint, label bigint, chunk bigint"), "opened")
-    pairs = opened.join(queries, ["a", "label", "chunk"]).join(asked.select("label", "chunk", F.col("node").alias("b"), F.col("n").alias("nb")), ["label", "chunk"])
+    asking = asking.join(unions.hint("merge"), ["label", "chunk"]).select("a", "na", "label", "chunk", "x", "union")
+    opened = asking.mapInArrow(_open, "a bigint, na bigint, label bigint, chunk bigint")
+    pairs = opened.join(asked.select("label", "chunk", F.col("node").alias("b"), F.col("n").alias("nb")), ["label", "chunk"])
     pairs = pairs.where("na IS NULL OR nb IS NULL OR 4 * least(na, nb) >= 3 * greatest(na, nb)")
     pairs = written(pairs.select("a", "b"), "pairs")
     # Of the sets, only those of pairs are moved; a filter of fixed size finds most others where they lie.
     used = _used_slots(pairs.select(F.explode(F.array("a", "b")).alias("node")))
     wanted, sets = sets, sets.select("node", "set", _slot("node")).mapInArrow(lambda b: _in_slots(b, np.unpackbits(used.value).astype(bool)), "node bigint, set binary")
     more = written(_compare(pairs, sets), "links")
-    drop(wanted, queries, asked, opened, pairs, labels)
+    drop(wanted, queries, asked, pairs, labels)
 
     # An id with several texts links their nodes.
     several = nodes.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a != most").select("id", "a")
     own = nodes.join(several.hint("merge"), "id").where("a != node").select("a", F.col("node").alias("b"))
-    final = components(links.union(more).union(own))
-    drop(links, more)
+    final = components(settled.select(F.col("label").alias("a"), F.col("node").alias("b")).union(more).union(own))
+    drop(settled, more)
     out = nodes.join(final, "node", "left").groupBy("id").agg(F.min(F.coalesce("label", "node")).alias("component"))
     out = out.select(F.col("id").alias("of"), "component")
     return signatures.select("id", "n").join(out, F.col("id") == F.col("of"), "left").select(

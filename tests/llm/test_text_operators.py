@@ -11,7 +11,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from harborbook.llm import bpe, contamination, jaccard, language, licenses, lines, quality, queries, shards, sketches, suffixes
+from harborbook.llm import bpe, components, contamination, jaccard, language, licenses, lines, quality, queries, shards, sketches, suffixes
 from harborbook.llm.tables import written
 
 SF = "/root/testdata/sf0.001"
@@ -463,3 +463,41 @@ def test_large_groups_of_near_copies_are_not_compared_pair_by_pair(spark, monkey
     out = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(docs).collect()}
     assert [out[k] for k in range(len(rows))] == expected
     assert len(pairs) > 10 * len(rows) and sum(compared) < 25 * len(rows)
+
+
+def test_components_of_links_dealt_over_tasks(spark):
+    rng = random.Random(7)
+    links = [(a, a + 3) for a in range(0, 300, 3)] + [(rng.randrange(301, 700), rng.randrange(301, 700)) for _ in range(250)] + [(-5, 900), (900, 901), (7, 7)]
+    rng.shuffle(links)
+    expected = {x: x for a, b in links if a != b for x in (a, b)}
+    while any(expected[a] != expected[b] for a, b in links if a != b):
+        for a, b in links:
+            if a != b:
+                expected[a] = expected[b] = min(expected[a], expected[b])
+    df = spark.createDataFrame([*links, *links[:50], *[(b, a) for a, b in links[:50]], (None, 3), (3, None)], "a bigint, b bigint").repartition(9)
+    out = components.components(df).collect()
+    assert len(out) == len(expected) and {r["node"]: r["label"] for r in out} == expected
+    assert components.components(df.where("a = b")).count() == 0
+
+
+def test_large_groups_of_near_copies_take_few_jobs(spark, monkeypatch):
+    rng = random.Random(8)
+    base = ["".join(rng.choices("abcdefgh", k=7)) for _ in range(150)]
+    rows = []
+    for k in range(300):
+        words = list(base)
+        for at in rng.sample(range(150), rng.choices((1, 2, 3), (1, 7, 12))[0]):
+            words[at] = f"w{k}x{at}"
+        rows.append((k, " ".join(words)))
+    tables = []
+
+    def count_tables(df, name):
+        tables.append(name)
+        return written(df, name)
+
+    monkeypatch.setattr(jaccard, "written", count_tables)
+    monkeypatch.setattr(components, "written", count_tables)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    out = {r["component_id"] for r in jaccard.jaccard_components(docs).collect()}
+    assert len(out) < 30
+    assert len(tables) <= 30 and tables.count("sets") == 2, tables
