@@ -2,35 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harborbook.config import NON_CAT_CODES_CLAIMS, NON_CAT_FRAGMENTS_CLAIMS, MartConfig
 from harborbook.operators.calendars import month_spine
 from harborbook.operators.crime import CRIMES
 from harborbook.operators.flows import increments, increments_of_rows
+from harborbook.operators.homes import HOME, join_at_home
 from harborbook.operators.lineage import settle
 from harborbook.operators.losses import (
     RESERVES,
     cat_flag,
+    cents,
+    fractional_counts,
     loss_measures,
     non_cat,
     paid_amount,
     report_lag,
+    total_of,
     with_shares,
 )
 from harborbook.operators.skew import Hot, attach_totals, salted_join
 from harborbook.plans.attributes import policy_attributes
 from harborbook.plans.exposures import (
+    at_home,
     beside_claims,
     book_ledger,
     claim_identity,
     hot_in_ledger,
+    in_homes,
     named,
     open_in_month,
     periods,
     policy_dates,
     policy_ids,
+    split_ledger,
     with_statuses,
 )
 from harborbook.sources import Book
@@ -153,9 +160,8 @@ ROW_TIES = (
 )
 
 
-def _exposure_rows(book: Book, config: MartConfig, ledger: DataFrame, hot: dict[str, Hot]) -> tuple[DataFrame, DataFrame]:
-    """Distinct exposure rows per month end with amounts, status and report lag: of claims that fit into a task, and of others."""
-    rows = ledger.select(
+def _columns(config: MartConfig) -> list[Column | str]:
+    return [
         "eval_date",
         F.col("date").alias("eval_date_full"),
         "business_id",
@@ -176,7 +182,31 @@ def _exposure_rows(book: Book, config: MartConfig, ledger: DataFrame, hot: dict[
         "attorney_authorized_representative_flag",
         "location_of_loss",
         F.col("claim_id").alias("_claim"),
-    )
+    ]
+
+
+def _lags_and_periods() -> dict[str, Column]:
+    """What follows from the distinct columns."""
+    return {
+        "rpt_lag": report_lag("acc_date", "rpt_date"),
+        "rpt_lag_capped": report_lag("acc_date", "rpt_date", REPORT_LAG_CAP),
+        "eff_period": periods()["eff_period"],
+        "acc_period": periods()["acc_period"],
+        "eval_date_trunc": F.trunc("eval_date_full", "month"),
+    }
+
+
+def _rows_at_home(closed: DataFrame, config: MartConfig) -> DataFrame:
+    """Distinct exposure rows per month end with amounts, status and report lag, in closed homes; without policy ids."""
+    rows = closed.select(*_columns(config), HOME, "date_submitted", cents(total_of(RESERVES)).alias("_reserve"))
+    # First report of the claim over all months.
+    rows = at_home(rows, {"claim_lvl_eval_paid": F.sum("paid")}, {"rpt_date": F.min("date_submitted")}).drop("date_submitted")
+    return rows.withColumn("claim_lvl_eval_paid", F.col("claim_lvl_eval_paid").cast("decimal(28,2)")).distinct().withColumns(_lags_and_periods())
+
+
+def _other_rows(book: Book, config: MartConfig, ledger: DataFrame, hot: dict[str, Hot]) -> tuple[DataFrame, DataFrame]:
+    """The same for any homes, with policy ids: of claims that fit into a task, and of others."""
+    rows = ledger.select(*_columns(config))
     open_found = open_in_month(ledger, book.policies, RESERVES, hot, {"claim_lvl_eval_paid": paid_amount()})
     # Written, as the counts read these rows several times and their plan would be in each.
     claims, exposures = [settle(x, "open") for x in open_found]
@@ -189,53 +219,57 @@ def _exposure_rows(book: Book, config: MartConfig, ledger: DataFrame, hot: dict[
         distinct = with_statuses(df).withColumn("claim_lvl_eval_paid", paid).distinct()
         # Each policy id of the reference has the rows, and the rest follows from distinct columns.
         distinct = salted_join(distinct, policy_ids(book.policies), "policy_reference", "left", hot=hot["policy"])
-        return distinct.withColumns(
-            {
-                "rpt_lag": report_lag("acc_date", "rpt_date"),
-                "rpt_lag_capped": report_lag("acc_date", "rpt_date", REPORT_LAG_CAP),
-                "eff_period": periods()["eff_period"],
-                "acc_period": periods()["acc_period"],
-                "eval_date_trunc": F.trunc("eval_date_full", "month"),
-            }
-        )
+        return distinct.withColumns(_lags_and_periods())
 
     small, large = beside_claims(rows, ledger, config, hot, ["claim_id"], found)
     return finished(small), finished(large)
 
 
-def claim_exposures(book: Book, config: MartConfig, ledger: DataFrame, hot: dict[str, Hot]) -> DataFrame:
-    """Distinct exposure rows per month end with amounts, status and report lag."""
-    small, large = _exposure_rows(book, config, ledger, hot)
-    return small.unionByName(large)
+def claim_exposures(book: Book, config: MartConfig, ledger: DataFrame, hot: dict[str, Hot]) -> tuple[DataFrame, DataFrame]:
+    """Distinct exposure rows per month end with amounts, status and report lag: in closed homes, with the home, and others."""
+    closed, other = split_ledger(ledger, book.policies, config, hot)
+    at_homes = join_at_home(_rows_at_home(closed, config), in_homes(closed, policy_ids(book.policies), hot), ["policy_reference"])
+    small, large = _other_rows(book, config, other, hot)
+    return at_homes, small.unionByName(large)
 
 
 def claim_development(book: Book, config: MartConfig) -> DataFrame:
     """Cumulative amounts, counts and their changes per exposure and month, with policy attributes.
 
     Attributes are one row per policy reference, so they change no count; they are joined last and the
-    wide columns take no part in the earlier shuffles.  Rows are moved to their claims and to their exposures once each; claims
-    and exposures with very many rows are dealt out.
+    wide columns take no part in the earlier shuffles.  Rows of closed homes are moved there once, and ids and attributes come to
+    them.  Others are moved to their claims and to their exposures once each; claims and exposures with very many rows are dealt out.
     """
     spine = month_spine(book.periods, config.start, config.through)
     ledger = book_ledger(book.claims_ledger, spine, config)
     hot = hot_in_ledger(ledger, config)
     counted = F.count("exposure_id")
-
-    small, large = [x.where(F.col("eval_date") >= F.col("eff_period")) for x in _exposure_rows(book, config, ledger, hot)]
-    small = small.withColumn("_n_claim", counted.over(Window.partitionBy("claim_id", "eval_date")))
-    large = attach_totals(large, ["claim_id", "eval_date"], {"_n_claim": counted}, hot["trimmed"], ["claim_id"])
-    rows = small.unionByName(large)
+    closed, other = split_ledger(ledger, book.policies, config, hot)
 
     money = [c for c in CUMULATIVE if c not in COUNTS]
     types = {c: "decimal(15,2)" for c in money} | {c: "decimal(15,6)" for c in COUNTS if c.startswith("count_claim")}
     changes = {c: f"{c}_inc" for c in CUMULATIVE}
+    in_force = F.col("eval_date") >= F.col("eff_period")
+
+    def with_measures(df: DataFrame) -> DataFrame:
+        return df.withColumns({"incurred_non_cat": non_cat("incurred"), "paid_non_cat": non_cat("paid")})
+
+    at_homes = fractional_counts(_rows_at_home(closed, config).where(in_force), home=HOME)
+    # The reference has one policy id at most here, so the id decides no tie.
+    ties = [c for c in ROW_TIES if c != "policy_id"]
+    at_homes = increments(with_measures(at_homes), [HOME, "exposure_id"], ["eval_date", *ties], changes, types)
+
+    small, large = [x.where(in_force) for x in _other_rows(book, config, other, hot)]
+    small = small.withColumn("_n_claim", counted.over(Window.partitionBy("claim_id", "eval_date")))
+    large = attach_totals(large, ["claim_id", "eval_date"], {"_n_claim": counted}, hot["trimmed"], ["claim_id"])
+    rows = small.unionByName(large)
 
     def of_large(how: str) -> DataFrame:
         fans = F.broadcast(hot["exposure"].fans.select("_hash"))  # fewer than ``parts`` rows
         return rows.withColumn("_hash", F.xxhash64("exposure_id")).join(fans, "_hash", how).drop("_hash")
 
     def with_counts(df: DataFrame) -> DataFrame:
-        return with_shares(df).withColumns({"incurred_non_cat": non_cat("incurred"), "paid_non_cat": non_cat("paid")})
+        return with_measures(with_shares(df))
 
     month = Window.partitionBy("exposure_id", "eval_date")
     out = with_counts(of_large("left_anti").repartition("exposure_id").withColumn("_n_exposure", counted.over(month)))
@@ -246,7 +280,9 @@ def claim_development(book: Book, config: MartConfig) -> DataFrame:
         out = out.unionByName(increments_of_rows(with_counts(dealt), "exposure_id", "eval_date", ROW_TIES, changes, types))
 
     attributes = policy_attributes(book, config, spine).select("policy_reference", *ATTRIBUTES)
+    known = attributes.where(F.col("policy_reference").isNotNull())
+    about = policy_ids(book.policies).join(known, "policy_reference", "full")
+    shown = [*EXPOSURE_COLUMNS, *ATTRIBUTES, "incurred_non_cat", "paid_non_cat", *COUNTS, *changes.values()]
+    at_homes = join_at_home(at_homes, in_homes(closed, about, hot), ["policy_reference"])
     out = salted_join(out, attributes, "policy_reference", "left", hot=hot["policy"])
-    return out.select(
-        *EXPOSURE_COLUMNS, *ATTRIBUTES, "incurred_non_cat", "paid_non_cat", *COUNTS, *changes.values()
-    )
+    return at_homes.select(*shown).unionByName(out.select(*shown))
